@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docuplane.llm import leaks, neardup, pieces, tokens
+from docuplane.llm import leaks, neardup, pieces, residue, tokens
 from docuplane.session import table
 
 
@@ -23,5 +23,9 @@ def p9_found(spark, d):
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark, d):
+    return residue.residue(table(spark, d, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
