@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from docuplane.llm import leaks, neardup, pieces, residue, tokens
+from docuplane.llm import leaks, names, neardup, pieces, residue, tokens
 from docuplane.session import table
 
 
+def p2_found(spark, d):
+    return names.entity_pairs(table(spark, d, "creator_values")).toDF("value_id_a", "value_id_b")
+
+
 def p3_found(spark, d):
     pairs = neardup.near_duplicate_pairs(neardup.file_text(table(spark, d, "index_docs")))
     return pairs.toDF("doc_id_a", "doc_id_b")
@@ -27,5 +31,5 @@ def p10_found(spark, d):
     return residue.residue(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
