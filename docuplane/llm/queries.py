@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docuplane.llm import leaks, names, neardup, pieces, residue, tokens
+from docuplane.llm import leaks, mails, names, neardup, pieces, residue, tokens
 from docuplane.session import table
 
 
@@ -19,6 +19,10 @@ def p6_found(spark, d):
     return pieces.oversized_pieces(table(spark, d, "index_docs"), table(spark, d, "index_embeddings"))
 
 
+def p7_found(spark, d):
+    return mails.newly_written(table(spark, d, "mail_docs"))
+
+
 def p8_ids(spark, d):
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -31,5 +35,5 @@ def p10_found(spark, d):
     return residue.residue(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
