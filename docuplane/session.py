@@ -78,6 +78,11 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over as many partitions as shuffles have, by the keys' hash: few bytes may be much work for what follows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether df has at most max_rows rows; reads no more than max_rows + 1 of them."""
     return df.limit(max_rows + 1).count() <= max_rows
