@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from docuplane.operators.hierarchy import message_key
-from docuplane.session import Scratch
+from docuplane.session import Scratch, spread
 
 #: Mails whose clear blocks the trees are fitted on, by the order of the hash of their doc_id.
 SAMPLE_MAILS = 3_000
@@ -369,7 +369,7 @@ def mail_blocks(mails: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "first", "last", "key", "label", "x"])
 
     rows = with_ancestor(mails).where("content is not null")
-    return rows.mapInPandas(cut, "doc_id string, first int, last int, key bigint, label int, x array<float>")
+    return spread(rows, "doc_id").mapInPandas(cut, "doc_id string, first int, last int, key bigint, label int, x array<float>")
 
 
 def with_frequency(blocks: DataFrame, least: int = 5) -> DataFrame:
