@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docuplane.llm import leaks, mails, names, neardup, pieces, residue, tokens
+from docuplane.llm import leaks, mails, names, neardup, pieces, residue, scans, tokens
 from docuplane.session import table
 
 
@@ -15,6 +15,10 @@ def p3_found(spark, d):
     return pairs.toDF("doc_id_a", "doc_id_b")
 
 
+def p5_found(spark, d):
+    return scans.repairs(table(spark, d, "scan_pages"), table(spark, d, "jobs"))
+
+
 def p6_found(spark, d):
     return pieces.oversized_pieces(table(spark, d, "index_docs"), table(spark, d, "index_embeddings"))
 
@@ -35,5 +39,5 @@ def p10_found(spark, d):
     return residue.residue(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
