@@ -1,31 +1,29 @@
 """Near-duplicate texts by runs of words: all pairs above a Jaccard similarity, exactly.
 
 Runs of words are hashed into sets; equal sets are one class, so copies cost nothing. The similarity is a bound on the Hamming
-distance of the sets, tau = (1 - t) / (1 + t) * (|x| + |y|). A pair within it shares one of the rarest runs of both (the universe
-is ordered by frequency; so it's enough to look for partners through the first runs of each set). Pigeonring filtering then prunes
+distance of the sets, tau = (1 - t) / (1 + t) * (|x| + |y|). A pair within it shares several of the rarest runs of both (the
+universe is ordered by frequency; so it's enough to look for partners through the first runs of each set). Pigeonring filtering then prunes
 the candidates: the universe is cut into segments on a ring, and a pair can only be within tau if from some segment on every chain
 of consecutive segments differs by no more than its share of tau. What is left is compared in full.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from fractions import Fraction
-from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docuplane.session import Scratch
 
 SEGMENTS = 8
 #: Frequencies are counted in this many buckets; one byte each is broadcast.
-BUCKETS = 1 << 22
-_WORD = re.compile("[a-z0-9]+")
+BUCKETS = 1 << 25
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,15 +33,56 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_K ** i and its inverse, modulo 2 ** 64, for i < n; kept and grown."""
+    global _POWERS
+    if len(_POWERS[0]) < n:
+        inverse = np.uint64(pow(int(_K), -1, 1 << 64))
+        with np.errstate(over="ignore"):
+            _POWERS = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, k, np.uint64)]), dtype=np.uint64) for k in (_K, inverse))
+    return _POWERS
+
+
+_POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_INSIDE = np.zeros(256, bool)
+_INSIDE[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+#: Runs among the rarest that a pair must share to be compared.
+SHARED = 3
+#: Bytes hashed at once.
+_BLOCK = 1 << 22
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of a-z and 0-9 begins, and its hash; in blocks that end between words, without an object per word."""
+    raw = np.frombuffer(data, np.uint8)
+    starts, hashes, at = [], [], 0
+    while at < len(raw):
+        end = min(at + _BLOCK, len(raw))
+        while end < len(raw) and _INSIDE[raw[end]] and _INSIDE[raw[end - 1]]:
+            stop = np.flatnonzero(~_INSIDE[raw[end : end + _BLOCK]])
+            end = end + int(stop[0]) if len(stop) else min(end + _BLOCK, len(raw))
+        part = raw[at:end]
+        edge = np.diff(np.concatenate([[False], _INSIDE[part], [False]]).astype(np.int8))
+        s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if len(s):
+            up, down = _powers(len(part))
+            with np.errstate(over="ignore"):
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64)])
+                h = _mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            starts.append(s + at)
+            hashes.append(h)
+        at = end
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
 def shingle_sets(texts: list[str | None], run: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers of the texts with at least `least` distinct runs of words, where their sets begin, and all sets, sorted."""
-    words = [_WORD.findall(t.lower()) if t else [] for t in texts]
-    lens = np.fromiter(map(len, words), np.int64, len(words))
     none = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint64)
-    if not lens.sum():
-        return none
-    codes, names = pd.factorize(np.array([w for ws in words for w in ws], object))
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))[codes]
+    raw = [t.lower().encode() if t else b"" for t in texts]
+    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in raw])])
+    at, h = word_hashes(b"\n".join(raw))
     n = len(h) - run + 1
     if n < 1:
         return none
@@ -51,7 +90,7 @@ def shingle_sets(texts: list[str | None], run: int, least: int) -> tuple[np.ndar
         s = h[:n].copy()
         for k in range(1, run):
             s = _mix(s * _K + h[k : n + k])
-    doc = np.repeat(np.arange(len(words)), lens)
+    doc = np.searchsorted(begin, at, side="right") - 1
     inside = doc[:n] == doc[run - 1 :]
     s, doc = s[inside], doc[:n][inside]
     o = np.lexsort((s, doc))
@@ -59,7 +98,7 @@ def shingle_sets(texts: list[str | None], run: int, least: int) -> tuple[np.ndar
     first = np.ones(len(s), bool)
     first[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
     s, doc = s[first], doc[first]
-    size = np.bincount(doc, minlength=len(words))
+    size = np.bincount(doc, minlength=len(texts))
     keep = size[doc] >= least
     rows = np.flatnonzero(size >= max(least, 1))
     return rows, np.concatenate([[0], np.cumsum(size[rows])]).astype(np.int64), s[keep]
@@ -86,11 +125,6 @@ def _segments(begin: np.ndarray, sets: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _code(counts: np.ndarray) -> np.ndarray:
-    """Counts on a logarithmic scale in a byte; 0 for 1 and less."""
-    return np.minimum(255, np.ceil(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
-
-
 def within_ring(a: Column, b: Column, tau: Column) -> Column:
     """Whether from some segment on every chain of segments differs by no more than its share of tau."""
     d = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
@@ -104,95 +138,140 @@ def within_ring(a: Column, b: Column, tau: Column) -> Column:
     return F.exists(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), chain)
 
 
+def _gathered(texts: DataFrame, batches_of, bits: int, merge) -> np.ndarray:
+    """A table of 2 ** bits bytes over all texts: each task's table goes out packed, in ranges, which are merged in two steps."""
+    span = 1 << 16
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = batches_of(batches)
+        where = TaskContext.get().partitionId() % 32
+        for r in range(len(total) // span):
+            part = total[r * span : (r + 1) * span]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([where], pa.int32()), pa.array([zstandard.compress(part.tobytes(), 1)], pa.binary())], ["r", "w", "data"])
+
+    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(span, np.uint8)
+        for d in rows["data"]:
+            total = merge(total, np.frombuffer(zstandard.decompress(d), np.uint8))
+        return pd.DataFrame({"r": [key[0]], "data": [zstandard.compress(total.tobytes(), 1)]})
+
+    packed = texts.mapInArrow(pack, "r int, w int, data binary")
+    once = packed.groupBy("r", "w").applyInPandas(join, "r int, data binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for row in once.groupBy("r").applyInPandas(join, "r int, data binary").toLocalIterator():
+        out[row["r"] * span : (row["r"] + 1) * span] = np.frombuffer(zstandard.decompress(row["data"]), np.uint8)
+    return out
+
+
+def _added(codes: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Frequencies added; in steps of a byte: 0 to 127 as they are, above that an eighth of an octave each."""
+    return _code(_count(codes) + _count(more))
+
+
+_LADDER = np.concatenate([np.arange(128), np.round(128 * 2 ** (np.arange(128) / 8.0))]).astype(np.int64)
+
+
+def _count(codes: np.ndarray) -> np.ndarray:
+    return _LADDER[codes]
+
+
+def _code(counts: np.ndarray) -> np.ndarray:
+    return (np.searchsorted(_LADDER, counts, side="right") - 1).astype(np.uint8)
+
+
 def class_pairs(texts: DataFrame, run: int = 3, similarity: Fraction = Fraction(3, 5), least: int = 20) -> tuple[DataFrame, DataFrame]:
     """texts: key, text. Returns members (key, class_id) and pairs (class_a, class_b, shared, size_a, size_b), class_a < class_b.
 
     Members: one row per row of texts with at least `least` distinct runs of `run` words. Pairs: all pairs of classes whose sets
-    have a Jaccard similarity of at least `similarity`. Nulls, empty and short texts are in neither.
+    have a Jaccard similarity of at least `similarity`. Nulls, empty and short texts are in neither. What is broadcast is a
+    table of frequencies of BUCKETS bytes and one of BUCKETS bits, however many texts there are.
     """
     spark = texts.sparkSession
     num, den = similarity.numerator, similarity.denominator
     texts = texts.select("key", "text").where("text is not null")
     key = texts.schema["key"].dataType.simpleString()
+    mask = np.uint64(BUCKETS - 1)
+    scratch = Scratch(spark, "neardup")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total, held, n = np.zeros(BUCKETS, np.uint8), [], 0
         for b in batches:
-            sets = shingle_sets(b.column(1).to_pylist(), run, least)[2]
-            total += np.bincount((sets & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000], pa.int32()), pa.array(total[at[i : i + 100_000]], pa.int32())], ["bucket", "n"])
-
-    counted = texts.mapInArrow(count, "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    code = np.zeros(BUCKETS, np.uint8)
-    code[counted["bucket"].to_numpy()] = _code(counted["n"].to_numpy())
-    shared = spark.sparkContext.broadcast(code)
+            held.append((shingle_sets(b.column(1).to_pylist(), run, least)[2] & mask).astype(np.uint32))
+            n += len(held[-1])
+            if n > 4_000_000:
+                at, c = np.unique(np.concatenate(held), return_counts=True)
+                total[at], held, n = _code(_count(total[at]) + c), [], 0
+        if held:
+            at, c = np.unique(np.concatenate(held), return_counts=True)
+            total[at] = _code(_count(total[at]) + c)
+        return total
+
+    frequency = spark.sparkContext.broadcast(_gathered(texts, count, BUCKETS.bit_length() - 1, _added))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, seen = shared.value, set()
+        code, seen = frequency.value, set()
         for b in batches:
             _, begin, sets = shingle_sets(b.column(1).to_pylist(), run, least)
+            if not len(sets):
+                continue
             ids = _classes(begin, sets)
-            fresh = []
-            for i, c in enumerate(ids.tolist()):
-                if c not in seen:
-                    seen.add(c)
-                    fresh.append(i)
-            out = []
-            for i in fresh:
-                s = sets[begin[i] : begin[i + 1]]
-                n = len(s)
-                k = code[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                first = np.lexsort((s, k))[: n - ceil(similarity * n) + 1]
-                at = np.flatnonzero(k[first])
-                out.append((s[first][at], np.full(len(at), ids[i]), np.full(len(at), n), at))
-            if out:
-                t, c, n, at = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(at, pa.int32())], ["run", "class", "n", "place"])
+            size = np.diff(begin)
+            fresh = np.array([c not in seen and not seen.add(c) for c in ids.tolist()])
+            row = np.repeat(np.arange(len(size)), size)
+            k = code[(sets & mask).astype(np.int64)]
+            o = np.lexsort((sets, k, row))
+            place = np.arange(len(sets)) - begin[row]
+            prefix = size - -(-size * num // den) + SHARED
+            take = (place < prefix[row]) & (k[o] > 1) & fresh[row]
+            row, at = row[take], place[take]
+            yield pa.RecordBatch.from_arrays([pa.array(sets[o][take].view(np.int64)), pa.array(ids[row]), pa.array(size[row], pa.int32()), pa.array(at, pa.int32())], ["run", "class", "n", "place"])
 
     posts = texts.mapInArrow(post, "run bigint, class bigint, n int, place int").repartition("run").dropDuplicates(["run", "class"])
     x, y = posts.alias("x"), posts.alias("y")
     both = F.col("x.n") + F.col("y.n")
-    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + (SHARED - 1)
     fits = (F.col("x.class") < F.col("y.class")) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (left * (num + den) >= both * num)
-    scratch = Scratch(spark, "neardup")
-    pairs = scratch.cut(x.join(y, (F.col("x.run") == F.col("y.run")) & fits).select(F.col("x.class").alias("class_a"), F.col("y.class").alias("class_b"), F.col("x.n").alias("size_a"), F.col("y.n").alias("size_b")).distinct())
+    met = x.join(y, (F.col("x.run") == F.col("y.run")) & fits).select(F.col("x.class").alias("class_a"), F.col("y.class").alias("class_b"), F.col("x.n").alias("size_a"), F.col("y.n").alias("size_b"))
+    pairs = scratch.cut(met.groupBy("class_a", "class_b", "size_a", "size_b").count().where(F.col("count") >= SHARED).drop("count"))
 
-    def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wanted_bits(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(BUCKETS >> 3, np.uint8)
         for b in batches:
-            rows, begin, sets = shingle_sets(b.column(1).to_pylist(), run, least)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(_classes(begin, sets), pa.int64())], ["key", "class_id"])
+            c = np.concatenate([b.column(0).to_numpy(), b.column(1).to_numpy()]).view(np.uint64) & mask
+            np.bitwise_or.at(total, (c >> np.uint64(3)).astype(np.int64), np.uint8(1) << (c & np.uint64(7)).astype(np.uint8))
+        return total
+
+    wanted = spark.sparkContext.broadcast(_gathered(pairs.select("class_a", "class_b"), wanted_bits, BUCKETS.bit_length() - 4, np.bitwise_or))
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = wanted.value, set()
         for b in batches:
-            _, begin, sets = shingle_sets(b.column(1).to_pylist(), run, least)
+            rows, begin, sets = shingle_sets(b.column(1).to_pylist(), run, least)
             ids, seg = _classes(begin, sets), _segments(begin, sets)
-            new = [i for i, c in enumerate(ids.tolist()) if c not in seen and not seen.add(c)]
-            if new:
-                each = [sets[begin[i] : begin[i + 1]].view(np.int64) for i in new]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[new], pa.int64()), pa.array(list(seg[new])), pa.array(each)], ["class", "seg", "runs"])
-
-    wanted = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
-    sets = texts.mapInArrow(full, "class bigint, seg array<bigint>, runs array<bigint>").join(wanted, "class", "left_semi").dropDuplicates(["class"])
-    sets = scratch.cut(sets)
-    seg = sets.select("class", "seg")
+            c = ids.view(np.uint64) & mask
+            need = bits[(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8) & 1
+            new = [bool(w) and k not in seen and not seen.add(k) for w, k in zip(need.tolist(), ids.tolist())]
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                b.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, pa.int64()),
+                pa.array([s if n else None for s, n in zip(seg, new)], kind),
+                pa.array([sets[begin[i] : begin[i + 1]].view(np.int64) if n else None for i, n in enumerate(new)], kind),
+            ], ["key", "class_id", "seg", "runs"])
+
+    described = scratch.cut(texts.mapInArrow(describe, f"key {key}, class_id bigint, seg array<bigint>, runs array<bigint>"))
+    ends = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
+    sets = scratch.cut(described.where("runs is not null").select("class_id", "seg", "runs").join(ends, "class_id", "left_semi").dropDuplicates(["class_id"]))
+    seg, runs = sets.select("class_id", "seg"), sets.select("class_id", "runs")
     tau = F.floor((F.col("size_a") + F.col("size_b")) * F.lit(den - num) / F.lit(den + num))
-    near = (
-        pairs.join(seg.toDF("class_a", "seg_a"), "class_a")
-        .join(seg.toDF("class_b", "seg_b"), "class_b")
-        .where(within_ring(F.col("seg_a"), F.col("seg_b"), tau))
-        .drop("seg_a", "seg_b")
-    )
-    runs = sets.select("class", "runs")
+    near = pairs.join(seg.toDF("class_a", "seg_a"), "class_a").join(seg.toDF("class_b", "seg_b"), "class_b").where(within_ring(F.col("seg_a"), F.col("seg_b"), tau)).drop("seg_a", "seg_b")
     checked = (
         near.join(runs.toDF("class_a", "runs_a"), "class_a")
         .join(runs.toDF("class_b", "runs_b"), "class_b")
         .withColumn("shared", F.size(F.array_intersect("runs_a", "runs_b")))
         .where((F.col("size_a") + F.col("size_b")) * num <= F.col("shared") * (num + den))
     )
-    return texts.mapInArrow(member, f"key {key}, class_id bigint"), checked.select("class_a", "class_b", "shared", "size_a", "size_b")
+    return described.select("key", "class_id"), checked.select("class_a", "class_b", "shared", "size_a", "size_b")
 
 
 def file_text(docs: DataFrame) -> DataFrame:
@@ -207,7 +286,7 @@ def near_duplicate_pairs(texts: DataFrame, run: int = 3, similarity: Fraction =
     A key with several texts has a pair if one of them has it. Copies are compared as one class and only expanded here.
     """
     members, pairs = class_pairs(texts, run, similarity, least)
-    members = Scratch(texts.sparkSession, "neardup-members").cut(members.distinct())
+    members = members.distinct()
     a, b = members.toDF("key_a", "class_a"), members.toDF("key_b", "class_b")
     linked = pairs.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").select("key_a", "key_b")
     same = a.join(b, F.col("class_a") == F.col("class_b")).where("key_a < key_b").select("key_a", "key_b")
