@@ -20,7 +20,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from docuplane.session import shared_dir
+from docuplane.session import Scratch, shared_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEXICON_WORDS = 65_536
@@ -202,9 +202,23 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORDS) -> list[str]:
-    """The `most` most frequent words over all texts (ties by the word), counted in the JVM and summed before the shuffle."""
+    """At most `most` words, the most frequent over all texts; counted in the JVM and summed before the shuffle.
+
+    Where to cut is read from a histogram of the counts (steps of an eighth of an octave, whole steps are taken), so that never
+    more than `most` words come to the driver.
+    """
     words = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_JAVA_SPLIT), F.lit(0))).alias("w"))
-    return [r.w for r in words.groupBy("w").count().where("octet_length(w) between 1 and 64").orderBy(F.desc("count"), "w").limit(most).collect()]
+    step = F.floor(8 * F.log2("count")).cast("int").alias("step")
+    counts = Scratch(docs.sparkSession, "words").cut(words.groupBy("w").count().where("octet_length(w) between 1 and 64").select("w", "count", step))
+    total, cut = 0, None
+    for r in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > most:
+            break
+        cut = r["step"]
+    if cut is None:
+        return []
+    return sorted(r.w for r in counts.where(F.col("step") >= cut).select("w").toLocalIterator())
 
 
 def share_lexicon(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, most: int = LEXICON_WORDS) -> str:
