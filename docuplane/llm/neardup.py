@@ -159,7 +159,7 @@ def _gathered(texts: DataFrame, batches_of, bits: int, merge) -> np.ndarray:
     packed = texts.mapInArrow(pack, "r int, w int, data binary")
     once = packed.groupBy("r", "w").applyInPandas(join, "r int, data binary")
     out = np.zeros(1 << bits, np.uint8)
-    for row in once.groupBy("r").applyInPandas(join, "r int, data binary").toLocalIterator():
+    for row in once.groupBy("r").applyInPandas(join, "r int, data binary").collect():
         out[row["r"] * span : (row["r"] + 1) * span] = np.frombuffer(zstandard.decompress(row["data"]), np.uint8)
     return out
 

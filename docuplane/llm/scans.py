@@ -75,7 +75,7 @@ def edges(content: str | None, reach: int = 3) -> list[tuple[int, str]]:
     lines = (content or "").split("\n")
     full = [i for i, x in enumerate(lines) if x.strip()]
     near = sorted({*full[:reach], *full[-reach:]})
-    return [(i, skeleton(lines[i])) for i in near if not re.search(r"[.?!,;]\s*$", lines[i]) and re.match(r"\s*[^\Wa-z_]|\s*[!(+]|.*\s{3,}", lines[i]) and not _PAGE_NUMBER.match(lines[i].strip())]
+    return [(i, skeleton(lines[i])) for i in near if not re.search(r"[.?!,;]\s*$", lines[i]) and not _BROKEN.search(lines[i]) and re.match(r"\s*[^\Wa-z_]|\s*[!(+]|.*\s{3,}", lines[i]) and not _PAGE_NUMBER.match(lines[i].strip())]
 
 
 def furniture(content: str | None, page_no: int | None, repeated: set[str], pages: int) -> set[int]:
@@ -356,7 +356,7 @@ def repairs(pages: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
     spark = pages.sparkSession
     rows = structure(pages, jobs)
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in lexicon(rows).toLocalIterator():
+    for r in lexicon(rows).collect():  # at most 1 / LEAST_SHARE words a language
         counts[r["lang"]][r["word"]] = r["n"]
     doubtful = spark.sparkContext.broadcast({g: _ambiguous(c) for g, c in counts.items()})
 
@@ -376,7 +376,7 @@ def repairs(pages: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
     bigrams: dict[str, dict] = defaultdict(dict)
     least = {g: max(2, LEAST_SHARE * sum(c.values())) for g, c in counts.items()}
     least_col = F.create_map(*[F.lit(x) for kv in least.items() for x in kv]) if least else None
-    for r in follow.where(F.col("n") >= least_col[F.col("lang")]).toLocalIterator() if least else []:
+    for r in follow.where(F.col("n") >= least_col[F.col("lang")]).collect() if least else []:
         bigrams[r["lang"]][r["a"], r["b"]] = r["n"]
     shared = spark.sparkContext.broadcast({g: (c, bigrams.get(g, {})) for g, c in counts.items()})
 

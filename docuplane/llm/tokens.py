@@ -218,7 +218,7 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORD
         cut = r["step"]
     if cut is None:
         return []
-    return sorted(r.w for r in counts.where(F.col("step") >= cut).select("w").toLocalIterator())
+    return sorted(r.w for r in counts.where(F.col("step") >= cut).select("w").collect())
 
 
 def share_lexicon(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, most: int = LEXICON_WORDS) -> str:
