@@ -93,53 +93,74 @@ def _is(word: str):
     return lambda x: x == word
 
 
-def bm25(docs: DataFrame, terms: list[str], fields: dict[str, tuple[Column, float]], key: str = "doc_id") -> DataFrame:
-    """docs with `score`: the sum over fields of boost x BM25 of those rows whose field has all terms.
-
-    fields: name -> (token array, boost). Lengths and frequencies of the fields are counted over all docs in one aggregation to a
-    single row, which is joined back; matching and scoring need no shuffle and no exploded postings. Scores have 6 decimals.
-    """
-    if not terms:
-        return docs.withColumn("score", F.lit(0.0))
+def term_figures(docs: DataFrame, terms: list[str], fields: dict[str, Column]) -> DataFrame:
+    """docs with the length (__l_) and the frequency of each term (__tf_) of every field's token array; the text isn't needed after."""
     named = docs
-    for f, (toks, _) in fields.items():
+    for f, toks in fields.items():
         named = named.withColumn(f"__t_{f}", toks)
     for f in fields:
         t = F.col(f"__t_{f}")
         named = named.withColumn(f"__l_{f}", F.size(t)).withColumn(f"__tf_{f}", F.array(*[F.size(F.filter(t, _is(w))) for w in terms]))
-    named = named.drop(*[f"__t_{f}" for f in fields])
+    return named.drop(*[f"__t_{f}" for f in fields])
+
+
+def score_figures(named: DataFrame, terms: list[str], boosts: dict[str, float]) -> DataFrame:
+    """Rows of term_figures() with all terms in a field, with `score`: the sum over fields of boost x BM25, 6 decimals.
+
+    Lengths and frequencies are counted over all rows in one aggregation to a single row, which is joined back; matching and
+    scoring need no shuffle and no exploded postings.
+    """
     stats = named.agg(
         F.count("*").alias("__n"),
-        *[F.avg(f"__l_{f}").alias(f"__avg_{f}") for f in fields],
-        *[F.sum((F.col(f"__tf_{f}")[i] > 0).cast("bigint")).alias(f"__df_{f}_{i}") for f in fields for i in range(len(terms))],
+        *[F.avg(f"__l_{f}").alias(f"__avg_{f}") for f in boosts],
+        *[F.sum((F.col(f"__tf_{f}")[i] > 0).cast("bigint")).alias(f"__df_{f}_{i}") for f in boosts for i in range(len(terms))],
     )
-    some = reduce(Column.__or__, [reduce(Column.__and__, [F.col(f"__tf_{f}")[i] > 0 for i in range(len(terms))]) for f in fields])
-    hit = named.where(some).crossJoin(F.broadcast(stats))
+    every = {f: reduce(Column.__and__, [F.col(f"__tf_{f}")[i] > 0 for i in range(len(terms))]) for f in boosts}
+    hit = named.where(reduce(Column.__or__, every.values())).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
-    for f, (_, boost) in fields.items():
+    for f, boost in boosts.items():
         tf = F.col(f"__tf_{f}")
-        all_in = reduce(Column.__and__, [tf[i] > 0 for i in range(len(terms))])
         part = reduce(Column.__add__, [
             F.log(1 + (F.col("__n") - F.col(f"__df_{f}_{i}") + 0.5) / (F.col(f"__df_{f}_{i}") + 0.5)) * tf[i] / (tf[i] + K1 * (1 - B + B * F.col(f"__l_{f}") / F.col(f"__avg_{f}")))
             for i in range(len(terms))
         ])
-        score = score + F.when(all_in, F.lit(float(boost)) * part).otherwise(0.0)
+        score = score + F.when(every[f], F.lit(float(boost)) * part).otherwise(0.0)
     return hit.withColumn("score", F.round(score, 6)).drop(*[c for c in hit.columns if c.startswith("__")])
 
 
+def bm25(docs: DataFrame, terms: list[str], fields: dict[str, tuple[Column, float]], key: str = "doc_id") -> DataFrame:
+    """docs with `score`, the rows with all terms in a field; every row with 0 if there are no terms. fields: token array, boost."""
+    if not terms:
+        return docs.withColumn("score", F.lit(0.0))
+    return score_figures(term_figures(docs, terms, {f: t for f, (t, _) in fields.items()}), terms, {f: b for f, (_, b) in fields.items()})
+
+
+#: The fields of a text search: content once, the display path twice.
+TEXT_FIELDS = {"content": 1.0, "path": 2.0}
+
+
+def field_tokens() -> dict[str, Column]:
+    return {"content": X.tokens(F.col("content")), "path": X.path_tokens(F.col("display_path"))}
+
+
 def content_score(docs: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
     """BM25 over content plus twice over the display path."""
-    return bm25(docs, terms_of(query), {"content": (X.tokens(F.col("content")), 1.0), "path": (X.path_tokens(F.col("display_path")), 2.0)}, key)
+    return bm25(docs, terms_of(query), {f: (t, TEXT_FIELDS[f]) for f, t in field_tokens().items()}, key)
 
 
-def matches(docs: DataFrame, query: str) -> DataFrame:
-    """Rows with all terms in the content or all in the path; every row for an empty query or *."""
+def has_terms(query: str) -> Column:
+    """Whether all terms stand in the content or all in the path; true for an empty query or *."""
     terms = terms_of(query)
     if not terms:
-        return docs
+        return F.lit(True)
     wanted = F.array(*[F.lit(t) for t in terms])
-    inside = lambda t: F.size(F.array_intersect(wanted, t)) == len(terms)
-    return docs.where(inside(X.tokens(F.col("content"))) | inside(X.path_tokens(F.col("display_path"))))
+    inside = [F.size(F.array_intersect(wanted, t)) == len(terms) for t in field_tokens().values()]
+    return inside[0] | inside[1]
+
+
+def matches(docs: DataFrame, query: str) -> DataFrame:
+    """The rows that a query finds, unranked."""
+    return docs.where(has_terms(query))
 
 
 def ordered(df: DataFrame, sort: tuple[str, bool] | None, key: str = "doc_id") -> DataFrame:

@@ -29,6 +29,15 @@ def rows(spark, d, *more: str):
     return t.withColumns({"content_type": M.mime_base(F.col("content_type")), "created_year": M.year_of(F.col("created")), "file_size": M.whole_number(F.col("file_size")), "document_type": M.document_type(F.col("extracted_from"))})
 
 
+def scored(spark, d, terms: list[str], boosts: dict[str, float]):
+    """The live rows that match, scored. Term figures are taken before the last version of each row is chosen, so that no text goes
+    through that shuffle."""
+    need = ["index_name", "content_type", "created", "file_size", "extracted_from", "display_path"]
+    t = S.term_figures(table(spark, d, "index_docs").select("doc_id", "row_id", "indexed_at", "content", *need), terms, {f: c for f, c in S.field_tokens().items() if f in boosts})
+    t = I.live(t.drop("content"), *need, *[f"__{x}_{f}" for f in boosts for x in ("l", "tf")])
+    return S.score_figures(t.withColumn("content_type", M.mime_base(F.col("content_type"))), terms, boosts)
+
+
 LIVE = r"""live AS (SELECT doc_id, index_name, trim(split_part(content_type, ';', 1)) AS content_type, creator, created, CASE WHEN length(created) >= 4 AND regexp_full_match(substr(created, 1, 4), '[+-]?[0-9]+') THEN try_cast(substr(created, 1, 4) AS BIGINT) END AS created_year,
  CASE WHEN regexp_full_match(file_size, '[+-]?[0-9]+') THEN try_cast(file_size AS BIGINT) END AS file_size, extracted_from, display_path, has_embeddings, content, CASE WHEN coalesce(extracted_from, '') = '' THEN 'Parent Document' ELSE 'Attachment' END AS document_type
  FROM index_docs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY indexed_at DESC, row_id DESC) = 1)"""
@@ -56,38 +65,37 @@ _BM2 = _bm25_sql({"content": (_TOK, 1.0), "path": (_PATH, 2.0)}, ["report", "ins
 
 @query(f"WITH {LIVE} SELECT doc_id, score FROM {_BM1}")
 def bm25_and(spark, d):
-    t = rows(spark, d, "content")
-    return S.bm25(t, TERMS, {"content": (X.tokens(F.col("content")), 1.0)}).select("doc_id", "score")
+    return scored(spark, d, TERMS, {"content": 1.0}).select("doc_id", "score")
 
 
 @query(f"WITH {LIVE} SELECT doc_id, score FROM {_BM2}")
 def bm25_two_field(spark, d):
-    return S.content_score(rows(spark, d, "content"), "report insurer").select("doc_id", "score")
+    return scored(spark, d, S.terms_of("report insurer"), S.TEXT_FIELDS).select("doc_id", "score")
 
 
 @query(f"WITH {LIVE} SELECT doc_id, score FROM {_BM1} WHERE index_name IN ('quay_ledger', 'delta_permits', 'northgate_mail') AND content_type = 'application/pdf' ORDER BY score DESC, doc_id LIMIT 20")
 def search_page(spark, d):
-    t = rows(spark, d, "content")
-    hit = S.bm25(t, TERMS, {"content": (X.tokens(F.col("content")), 1.0)}).where(F.col("index_name").isin("quay_ledger", "delta_permits", "northgate_mail")).where(S.filter_column({"File Type": ["PDF"]}))
-    return S.page(hit.drop("content"), None, 20).select("doc_id", "score")
+    hit = scored(spark, d, TERMS, {"content": 1.0}).where(F.col("index_name").isin("quay_ledger", "delta_permits", "northgate_mail")).where(S.filter_column({"File Type": ["PDF"]}))
+    return S.page(hit, None, 20).select("doc_id", "score")
 
 
 @query(f"WITH {LIVE} SELECT doc_id, score FROM {_BM1} ORDER BY score DESC, doc_id LIMIT 10 OFFSET 10")
 def page_offset(spark, d):
-    hit = S.bm25(rows(spark, d, "content"), TERMS, {"content": (X.tokens(F.col("content")), 1.0)})
+    hit = scored(spark, d, TERMS, {"content": 1.0})
     return S.page(hit.select("doc_id", "score"), None, 10, 10)
 
 
 @query(f"WITH {LIVE} SELECT index_name, doc_id, score FROM {_BM1} WHERE index_name IN ('quay_ledger', 'koto_freight') ORDER BY score DESC, doc_id LIMIT 25")
 def multi_index_topk(spark, d):
-    hit = S.bm25(rows(spark, d, "content"), TERMS, {"content": (X.tokens(F.col("content")), 1.0)})
+    hit = scored(spark, d, TERMS, {"content": 1.0})
     parts = [hit.where(F.col("index_name") == i).select("index_name", "doc_id", "score") for i in ("quay_ledger", "koto_freight")]
     return S.page(parts[0].unionByName(parts[1]), None, 25)
 
 
 @query(f"WITH {LIVE} SELECT count(*) AS n FROM {_bm25_sql({'content': (_TOK, 1.0), 'path': (_PATH, 2.0)}, TERMS)}")
 def count_hits(spark, d):
-    return S.matches(rows(spark, d, "content"), "insured harbour").agg(F.count("*").alias("n"))
+    t = table(spark, d, "index_docs").select("doc_id", "row_id", "indexed_at", S.has_terms("insured harbour").alias("hit"))
+    return I.live(t, "hit").where("hit").agg(F.count("*").alias("n"))
 
 
 @query()
