@@ -271,7 +271,9 @@ def name_links(values: DataFrame, key: str = "value_id", scope: str = "index_nam
     links = both.where(_same("ra", "rb")).select("a", "b", F.col("ra.given").alias("ga"), F.col("rb.given").alias("gb"), F.col("ra.weak").alias("wa"), F.col("rb.weak").alias("wb"), F.col("ra.kind").alias("kind"))
     links = Scratch(values.sparkSession, "names").cut(links)
     sides = links.where("kind = 'person'").select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("wa").alias("w"), F.col("gb").alias("g"), F.col("wb").alias("v")), F.struct(F.col("b").alias("id"), F.col("wb").alias("w"), F.col("ga").alias("g"), F.col("wa").alias("v")))).alias("x")).select("x.*")
-    doubtful = sides.where("w and not v and size(g) = 1").groupBy("id").agg(F.count_distinct(F.col("g")[0]).alias("n")).where("n > 1").select("id")
+    doubtful = sides.where("w and not v and size(g) = 1").groupBy("id").agg(F.collect_set(F.col("g")[0]).alias("names"))
+    differ = lambda x, y: (x != y) & ((F.levenshtein(x, y) > 2) | (F.least(F.length(x), F.length(y)) < 5))
+    doubtful = doubtful.where(F.exists("names", lambda x: F.exists("names", lambda y: differ(x, y)))).select("id")
     firm = links.join(doubtful.withColumnRenamed("id", "a"), "a", "left_anti").join(doubtful.withColumnRenamed("id", "b"), "b", "left_anti")
     return firm.select("a", "b")
 
