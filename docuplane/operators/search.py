@@ -60,7 +60,7 @@ def year_filter(values: list[str], year: Column) -> Column | None:
     low = [int(v[5:]) for v in values if v.startswith("from:") and v[5:].lstrip("+-").isdigit()]
     high = [int(v[3:]) for v in values if v.startswith("to:") and v[3:].lstrip("+-").isdigit()]
     plain = [int(v) for v in values if v.lstrip("+-").isdigit()]
-    parts = [year >= max(low)] * bool(low) + [year <= min(high)] * bool(high) + [year.isin(plain)] * bool(plain)
+    parts = [year >= y for y in low] + [year <= y for y in high] + ([year.isin(plain)] if plain else [])
     return reduce(Column.__and__, parts) if parts else None
 
 
