@@ -136,6 +136,11 @@ def raw_metadata(metadata: Column) -> Column:
     return F.map_filter(metadata, lambda k, _: ~k.isin(*DROPPED_KEYS) & ~k.startswith(OWN_PREFIX))
 
 
+def overlay(metadata: Column, curated: Column) -> Column:
+    """Raw metadata with curated values laid over it; the curated ones win."""
+    return F.map_from_entries(F.concat(F.map_entries(F.map_filter(metadata, lambda k, _: ~F.array_contains(F.map_keys(curated), k))), F.map_entries(curated)))
+
+
 def human_size(n: Column) -> Column:
     """B, KB, MB, GB with one decimal, base 1024."""
     x = n.cast("double")

@@ -170,3 +170,28 @@ def sliding_rate_limit(spark, d):
 def consecutive_failures(spark, d):
     t = J.failure_runs(table(spark, d, "events"), "user_id", "ts", F.col("value") >= 20, "event_id")
     return t.select("event_id", F.col("failures").cast("bigint").alias("failures"))
+
+
+#: Sessions: one per order, until so many days after it as the customer's key modulo 60; now is the start of 1997.
+_NOW = "1997-01-01 00:00:00"
+
+
+def _sessions(spark, d):
+    until = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval((F.col("o_custkey") % 60).cast("int"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("token"), until.alias("expires_at"))
+
+
+@query(f"SELECT o_orderkey AS token FROM orders WHERE o_orderdate + to_days(CAST(o_custkey % 60 AS INTEGER)) > TIMESTAMP '{_NOW}'")
+def sessions_valid(spark, d):
+    return _sessions(spark, d).where(J.session_valid(F.col("expires_at"), F.lit(_NOW).cast("timestamp"))).select("token")
+
+
+@query(f"SELECT count(*) AS gone FROM orders WHERE o_orderdate + to_days(CAST(o_custkey % 60 AS INTEGER)) <= TIMESTAMP '{_NOW}'")
+def sessions_purged(spark, d):
+    return _sessions(spark, d).agg(F.count_if(~J.session_valid(F.col("expires_at"), F.lit(_NOW).cast("timestamp"))).alias("gone"))
+
+
+@query("SELECT event_id, CASE WHEN contains(ip, ':') THEN array_to_string(string_split(ip, ':')[1:4], ':') ELSE ip END AS k FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '10.0.' || user_id || '.7' ELSE '2001:db8:' || user_id || ':1:2:3:4:5' END AS ip FROM events)")
+def rate_limit_key(spark, d):
+    ip = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("10.0."), "user_id", F.lit(".7"))).otherwise(F.concat(F.lit("2001:db8:"), "user_id", F.lit(":1:2:3:4:5")))
+    return table(spark, d, "events").select("event_id", J.rate_key(ip).alias("k"))

@@ -259,3 +259,11 @@ def password_policy(spark, d):
     k = F.col("c_custkey") % 5
     p = F.when(k == 0, F.col("c_name")).when(k == 1, F.lower("c_name")).when(k == 2, F.concat(F.lit("Ab1"), "c_mktsegment")).when(k == 3, F.concat(F.lit("a#"), "c_name")).otherwise("abcdefgh")
     return table(spark, d, "customer").select("c_custkey", password_ok(p).alias("ok"))
+
+
+@query("SELECT row_id, coalesce(creator, '') AS creator, CASE WHEN modified IS NOT NULL THEN 'curated' ELSE 'curated' END AS date, CASE WHEN content_type IS NULL THEN '' ELSE content_type END AS type FROM index_docs")
+def meta_overlay(spark, d):
+    t = _metadata(table(spark, d, "index_docs"))
+    m = M.overlay(F.col("metadata"), F.create_map(F.lit("date"), F.array(F.lit("curated"))))
+    one = lambda k: F.coalesce(M.single(F.try_element_at(m, F.lit(k))), F.lit(""))
+    return t.select("row_id", one("creator").alias("creator"), one("date").alias("date"), one("Content-Type").alias("type"))

@@ -304,3 +304,45 @@ def thread_order(spark, d):
     m = table(spark, d, "mail_docs")
     one = m.where("in_reply_to <> ''").agg(F.min("doc_id")).first()[0]
     return R.thread_of(m, one or "").select("doc_id", "sent_at")
+
+
+# lookups and ranking by rules
+
+
+@query(f"WITH {LIVE} SELECT doc_id, display_path, content_type FROM live WHERE doc_id = (SELECT min(doc_id) FROM index_docs)")
+def point_lookup(spark, d):
+    one = table(spark, d, "index_docs").agg(F.min("doc_id")).first()[0]
+    return rows(spark, d).where(F.col("doc_id") == one).select("doc_id", "display_path", "content_type")
+
+
+@query(f"WITH {LIVE} SELECT doc_id FROM live WHERE display_path = (SELECT min(display_path) FROM index_docs) ORDER BY doc_id LIMIT 1")
+def find_by_path(spark, d):
+    one = table(spark, d, "index_docs").agg(F.min("display_path")).first()[0]
+    return rows(spark, d).where(F.col("display_path") == one).select("doc_id").orderBy("doc_id").limit(1)
+
+
+@query(f"WITH {LIVE} SELECT doc_id, display_path FROM live WHERE doc_id IN (SELECT i.doc_id FROM index_docs i JOIN jobs j USING (job_id) WHERE lower(trim(j.status)) <> 'completed')")
+def scan_by_ids(spark, d):
+    cut = table(spark, d, "jobs").where("lower(trim(status)) <> 'completed'").select("job_id")
+    ids = table(spark, d, "index_docs").join(cut, "job_id", "left_semi").select("doc_id").distinct()
+    return rows(spark, d).join(ids, "doc_id", "left_semi").select("doc_id", "display_path")
+
+
+@query(f"WITH {LIVE} SELECT doc_id, left(content, 200) AS snippet FROM live WHERE content IS NOT NULL AND regexp_full_match(content, '[\\x09\\x0a\\x0d\\x20-\\x7e]*')")
+def snippet_fallback(spark, d):
+    t = rows(spark, d, "content").where("content is not null").where(F.col("content").rlike(r"^[\x09\x0a\x0d\x20-\x7e]*$"))
+    return t.select("doc_id", X.fragment(F.col("content"), []).alias("snippet"))
+
+
+def rule_ranking(spark, d):
+    """The 100 best documents for 'insured harbour report' by rules: the path before the content, typos allowed."""
+    from docuplane.operators import rules
+
+    t = table(spark, d, "index_docs").select("doc_id", "row_id", "indexed_at", X.path_tokens(F.col("display_path")).alias("p"), X.tokens(F.col("content")).alias("c"))
+    figures = rules.rule_ranks(t, ["insured", "harbour", "report"], [F.col("p"), F.col("c")])
+    names = ["words", "typos", "proximity", "attribute", "exactness"]
+    live_rows = I.live(figures.select("doc_id", "row_id", "indexed_at", *names), *names)
+    return live_rows.orderBy(*rules.rule_order()).limit(100)
+
+
+QUERIES["rule_ranking"] = rule_ranking
