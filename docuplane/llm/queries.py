@@ -40,4 +40,12 @@ def p10_found(spark, d):
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p3_found": r"""WITH t AS (SELECT DISTINCT doc_id, lower(list_extract(string_split(replace(coalesce(display_path, ''), '\', '/'), '/'), -1) || ' ' || coalesce(content, '')) AS s FROM index_docs),
+ w AS (SELECT doc_id, regexp_extract_all(s, '[a-z0-9]+') AS w FROM t),
+ every_run AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS run FROM w WHERE len(w) > 2),
+ n AS (SELECT doc_id, count(*) AS n FROM every_run GROUP BY doc_id HAVING count(*) >= 20),
+ r AS (SELECT * FROM every_run SEMI JOIN n USING (doc_id)),
+ p AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS c FROM r a JOIN r b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL)
+ SELECT doc_id_a, doc_id_b FROM p JOIN n x ON x.doc_id = doc_id_a JOIN n y ON y.doc_id = doc_id_b WHERE 10 * c >= 6 * (x.n + y.n - c)"""
+}
