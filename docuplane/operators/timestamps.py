@@ -100,6 +100,14 @@ def _zone(text: Column, home: Column) -> Column:
     )
 
 
+def _free(df: DataFrame) -> str:
+    """A prefix that no column of df has."""
+    tag = "__at_"
+    while any(c.startswith(tag) for c in df.columns):
+        tag += "_"
+    return tag
+
+
 def with_instant(df: DataFrame, value: str, home_zone: str, date_order: str, out: str = "instant_ms") -> DataFrame:
     """Add `out`: epoch milliseconds (BIGINT) of the instant that the string column `value` denotes, else null.
 
@@ -107,39 +115,39 @@ def with_instant(df: DataFrame, value: str, home_zone: str, date_order: str, out
     counts as dmy). Years of two digits are 1969-2068. A clock time that occurs twice is the earlier instant, a skipped one moves
     on by the gap. Null for null, empty, nonsense, impossible dates, unknown zones, values without time of day and values without
     zone whose home_zone is null. 10 digits are Unix seconds, 13 milliseconds, 18 ticks of 100 ns since 1601. Other columns stay as
-    they are; helper columns start with two underscores and are dropped.
+    they are, whatever their names.
     """
-    v = F.col("__v")
-    df = df.withColumn("__v", _tidy(F.col(value)))
-    df = df.withColumn("__p", F.split(_pieces(v), r"\|"))
-    p = [F.try_element_at("__p", F.lit(i + 1)) for i in range(9)]
+    tag = _free(df)
+    v, y, m, d, h, i, s, f, a, z = (F.col(tag + c) for c in "vymdhisfaz")
+    df = df.withColumn(tag + "v", _tidy(F.col(value)))
+    df = df.withColumn(tag + "p", F.split(_pieces(v), r"\|"))
+    p = [F.try_element_at(tag + "p", F.lit(n + 1)) for n in range(9)]
     numeric = p[0].startswith("N")
     year = F.regexp_replace(p[0], "^N", "")
     swap = numeric & (F.coalesce(F.col(date_order), F.lit("dmy")) != "mdy")
     df = df.withColumns({
-        "__y": F.when(F.length(year) == 2, year.try_cast("int") + F.when(year.try_cast("int") < 69, 2000).otherwise(1900)).otherwise(year.try_cast("int")),
-        "__m": F.when(swap, p[2].try_cast("int")).otherwise(_month(p[1])),
-        "__d": F.when(swap, p[1].try_cast("int")).otherwise(p[2].try_cast("int")),
-        "__h": p[3].try_cast("int"),
-        "__i": p[4].try_cast("int"),
-        "__s": F.coalesce(p[5].try_cast("int"), F.lit(0)),
-        "__f": F.coalesce(F.substring(F.concat(p[6], F.lit("000")), 1, 3).try_cast("int"), F.lit(0)),
-        "__a": F.lower(p[7]),
-        "__z": _zone(p[8], F.col(home_zone)),
+        tag + "y": F.when(F.length(year) == 2, year.try_cast("int") + F.when(year.try_cast("int") < 69, 2000).otherwise(1900)).otherwise(year.try_cast("int")),
+        tag + "m": F.when(swap, p[2].try_cast("int")).otherwise(_month(p[1])),
+        tag + "d": F.when(swap, p[1].try_cast("int")).otherwise(p[2].try_cast("int")),
+        tag + "h": p[3].try_cast("int"),
+        tag + "i": p[4].try_cast("int"),
+        tag + "s": F.coalesce(p[5].try_cast("int"), F.lit(0)),
+        tag + "f": F.coalesce(F.substring(F.concat(p[6], F.lit("000")), 1, 3).try_cast("int"), F.lit(0)),
+        tag + "a": F.lower(p[7]),
+        tag + "z": _zone(p[8], F.col(home_zone)),
     })
-    half = F.col("__a").isin("a", "p")
-    hour = F.when(half & ~F.col("__h").between(1, 12), None).when(half, F.col("__h") % 12 + F.when(F.col("__a") == "p", 12).otherwise(0)).otherwise(F.col("__h"))
-    df = df.withColumn("__h", hour)
-    fits = F.col("__h").between(0, 23) & F.col("__i").between(0, 59) & F.col("__s").between(0, 59) & F.col("__z").isNotNull() & F.col("__y").between(1, 9999)
-    whole = F.when(fits, F.expr("try_make_timestamp(__y, __m, __d, __h, __i, cast(__s as decimal(8,6)), __z)"))
+    half = a.isin("a", "p")
+    df = df.withColumn(tag + "h", F.when(half & ~h.between(1, 12), None).when(half, h % 12 + F.when(a == "p", 12).otherwise(0)).otherwise(h))
+    fits = h.between(0, 23) & i.between(0, 59) & s.between(0, 59) & z.isNotNull() & y.between(1, 9999)
+    whole = F.when(fits, F.try_make_timestamp(y, m, d, h, i, s.cast("decimal(8,6)"), z))
     number = v.try_cast("bigint")
     ms = (
         F.when(v.rlike(r"^[0-9]{10}$"), number * 1000)
         .when(v.rlike(r"^[0-9]{13}$"), number)
-        .when(v.rlike(r"^[0-9]{18}$"), F.expr("(try_cast(__v as bigint) - 116444736000000000L) div 10000"))
-        .otherwise(F.unix_millis(whole) + F.col("__f"))
+        .when(v.rlike(r"^[0-9]{18}$"), F.expr(f"(try_cast({tag}v as bigint) - 116444736000000000L) div 10000"))
+        .otherwise(F.unix_millis(whole) + f)
     )
-    return df.withColumn(out, ms).drop("__v", "__p", "__y", "__m", "__d", "__h", "__i", "__s", "__f", "__a", "__z")
+    return df.withColumn(out, ms).drop(*[tag + c for c in "vpymdhisfaz"])
 
 
 
@@ -147,14 +155,14 @@ def estimate_zones(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """Choose for each index the offset history (IANA zone) that its own rows violate least.
 
     rows: index_name, created, modified, indexed_at; candidates: zone. Evidence in a row: a value without zone must not lie after
-    the ingestion (indexed_at), a created without zone not after a modified with one and the other way round; and a value that
-    carries a numeric offset must carry the one the zone has at that instant (people's tools mostly write their own zone). Returns
+    the ingestion (indexed_at), and a value that carries a numeric offset must carry the one the zone has at that instant (people's
+    tools mostly write their own zone). Returns
     index_name, home_zone, violations, tests: least violations, then most tests, then the zone's name. Candidates are few (checked
     before the broadcast, else a shuffled join); counts are summed before the shuffle. Empty rows give an empty result.
     """
     offset = F.regexp_extract(F.trim("__raw"), r"([+-][0-9]{2}):?([0-9]{2})'?\]?$", 0)
     ordered = (
-        rows.select("index_name", "indexed_at", F.explode(F.array("created", "modified")).alias("__raw"), F.col("created").alias("__c"), F.col("modified").alias("__m"))
+        rows.select("index_name", "indexed_at", F.explode(F.array("created", "modified")).alias("__raw"))
         .where(F.col("__raw").isNotNull())
         .crossJoin(F.broadcast(candidates.select(F.col("zone"))) if small_enough(candidates, 1000) else candidates.select("zone"))
         .withColumn("__none", F.lit(None).cast("string"))
@@ -183,17 +191,18 @@ def normalise_dates(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """
     keep = [c for c in docs.columns if c not in ("created_ms", "modified_ms", "created_utc_year")]
     docs = docs.select(*keep)
-    p = profiles.select("index_name", F.col("home_zone").alias("__home"), F.col("date_order").alias("__do")).dropDuplicates(["index_name"])
-    known = p.where(F.col("__home").rlike("^[A-Za-z]+(/[A-Za-z_+-]+)*$"))
+    home, order, guessed = (f"{_free(docs)}{c}" for c in ("home", "order", "guess"))
+    p = profiles.select("index_name", F.col("home_zone").alias(home), F.col("date_order").alias(order)).dropDuplicates(["index_name"])
+    known = p.where(F.col(home).rlike("^[A-Za-z]+(/[A-Za-z_+-]+)*$"))
     if "indexed_at" in docs.columns and not (lost := docs.select("index_name").distinct().join(known, "index_name", "left_anti")).isEmpty():
-        zones = known.select(F.col("__home").alias("zone")).distinct()
+        zones = known.select(F.col(home).alias("zone")).distinct()
         guess = estimate_zones(docs.join(bounded_broadcast(lost, 10_000), "index_name", "left_semi"), zones)
-        p = p.join(guess.select("index_name", F.col("home_zone").alias("__guess")), "index_name", "full").withColumn(
-            "__home", F.when(F.col("__home").rlike("^[A-Za-z]+(/[A-Za-z_+-]+)*$"), F.col("__home")).otherwise(F.col("__guess"))
-        ).drop("__guess")
+        p = p.join(guess.select("index_name", F.col("home_zone").alias(guessed)), "index_name", "full").withColumn(
+            home, F.when(F.col(home).rlike("^[A-Za-z]+(/[A-Za-z_+-]+)*$"), F.col(home)).otherwise(F.col(guessed))
+        ).drop(guessed)
     df = docs.join(bounded_broadcast(p, 10_000), "index_name", "left")
-    df = with_instant(with_instant(df, "created", "__home", "__do", "created_ms"), "modified", "__home", "__do", "modified_ms")
-    return df.withColumn("created_utc_year", F.year(F.timestamp_millis("created_ms")).cast("bigint")).drop("__home", "__do")
+    df = with_instant(with_instant(df, "created", home, order, "created_ms"), "modified", home, order, "modified_ms")
+    return df.withColumn("created_utc_year", F.year(F.timestamp_millis("created_ms")).cast("bigint")).drop(home, order)
 
 
 def date_repairs(docs: DataFrame, profiles: DataFrame) -> DataFrame:
