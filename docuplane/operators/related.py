@@ -26,12 +26,15 @@ def message_ids(mails: DataFrame) -> DataFrame:
     return mails.select("doc_id", "index_name", F.explode(F.array_distinct(ids)).alias("m")).where("m is not null and m <> ''")
 
 
-def thread_pairs(mails: DataFrame) -> DataFrame:
-    """a, b: mails of one index that carry a message id in common, both ways, itself left out; by an equi-join on the exploded ids."""
-    ids = message_ids(mails)
-    x, y = ids.alias("x"), ids.alias("y")
-    both = x.join(y, (F.col("x.index_name") == F.col("y.index_name")) & (F.col("x.m") == F.col("y.m")) & (F.col("x.doc_id") != F.col("y.doc_id")))
-    return both.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+def thread_members(mails: DataFrame) -> DataFrame:
+    """index_name, m, doc_id, carriers: each message id with every mail that carries it and how many do.
+
+    Mails with an id in common are one thread's. They are given as membership, not as pairs, so a thread of very many mails costs
+    no more than its mails.
+    """
+    ids = message_ids(mails).distinct()
+    n = ids.groupBy("index_name", "m").agg(F.count("*").alias("carriers"))
+    return ids.join(n, ["index_name", "m"]).select("index_name", "m", "doc_id", "carriers")
 
 
 def thread_of(mails: DataFrame, doc_id: str, most: int = THREAD) -> DataFrame:

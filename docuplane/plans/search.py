@@ -294,9 +294,9 @@ def attachments(spark, d):
 _IDS = r"ids AS (SELECT DISTINCT doc_id, index_name, m FROM (SELECT doc_id, index_name, unnest(list_transform(list_concat([message_id, in_reply_to], coalesce(refs, [])), lambda s: regexp_replace(regexp_replace(s, '^\s+|\s+$', '', 'g'), '^[<>]+|[<>]+$', '', 'g'))) AS m FROM mail_docs) WHERE m IS NOT NULL AND m <> '')"
 
 
-@query(f"WITH {_IDS} SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM ids x JOIN ids y ON x.index_name = y.index_name AND x.m = y.m AND x.doc_id <> y.doc_id")
+@query(f"WITH {_IDS} SELECT index_name, m, doc_id, count(*) OVER (PARTITION BY index_name, m) AS carriers FROM ids")
 def thread_members(spark, d):
-    return R.thread_pairs(table(spark, d, "mail_docs"))
+    return R.thread_members(table(spark, d, "mail_docs"))
 
 
 @query(f"WITH {_IDS}, one AS (SELECT min(doc_id) AS doc_id FROM mail_docs WHERE in_reply_to <> '') SELECT m.doc_id, m.sent_at FROM mail_docs m, one WHERE m.doc_id <> one.doc_id AND m.doc_id IN (SELECT x.doc_id FROM ids x JOIN ids y ON x.index_name = y.index_name AND x.m = y.m WHERE y.doc_id = one.doc_id) ORDER BY m.sent_at, m.doc_id LIMIT 100")
