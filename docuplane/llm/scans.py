@@ -275,10 +275,11 @@ def structure(pages: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
     ocr_language; repeated rows don't matter) only helps where a page doesn't tell its language.
     """
     rows = pages.select("page_key", "doc_id", "job_id", "page_no", "content").where("content is not null")
+    facts = rows.select("page_key", "doc_id", "job_id", "page_no").distinct()
     if jobs is not None:
-        rows = rows.join(jobs.where("job_id is not null").groupBy("job_id").agg(F.max("ocr_language").alias("setting")), "job_id", "left")
+        facts = facts.join(jobs.where("job_id is not null").groupBy("job_id").agg(F.max("ocr_language").alias("setting")), "job_id", "left")
     else:
-        rows = rows.withColumn("setting", F.lit(None).cast("string"))
+        facts = facts.withColumn("setting", F.lit(None).cast("string"))
 
     def at_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -288,8 +289,10 @@ def structure(pages: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
     near = rows.where("doc_id is not null and page_no is not null").select("page_key", "doc_id", "page_no", "content").mapInPandas(at_edges, "page_key bigint, doc_id string, page_no bigint, s string")
     again = near.groupBy("doc_id", "s").agg(F.count_distinct("page_no").alias("n")).where("n > 1").select("doc_id", "s")
     own = near.join(again, ["doc_id", "s"]).groupBy("page_key").agg(F.collect_set("s").alias("again"))
-    count = rows.groupBy("doc_id").agg(F.count_distinct("page_no").alias("pages"))
-    whole = rows.join(count, "doc_id", "left").join(own, "page_key", "left")
+    count = facts.groupBy("doc_id").agg(F.count_distinct("page_no").alias("pages"))
+    facts = facts.join(count, "doc_id", "left").join(own, "page_key", "left").dropDuplicates(["page_key"]).drop("job_id")
+    # the contents are shuffled once, by the key that all that was found out about a page is joined on
+    whole = spread(rows.select("page_key", "content"), "page_key").join(facts, "page_key")
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -300,13 +303,15 @@ def structure(pages: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
                 out.append((k, d, n, t, language(t, g), sorted(skip), text[0].split()[0] if text else "", bool(text) and bool(_BROKEN.search(text[-1]))))
             yield pd.DataFrame(out, columns=["page_key", "doc_id", "page_no", "content", "lang", "skip", "first", "ends"])
 
-    marked = Scratch(pages.sparkSession, "scans").cut(spread(whole, "page_key").mapInPandas(mark, "page_key bigint, doc_id string, page_no bigint, content string, lang string, skip array<int>, first string, ends boolean"))
+    marked = Scratch(pages.sparkSession, "scans").cut(whole.mapInPandas(mark, "page_key bigint, doc_id string, page_no bigint, content string, lang string, skip array<int>, first string, ends boolean"))
     one = marked.where("doc_id is not null and page_no is not null").select("doc_id", "page_no", "page_key", "first", "ends")
     sides = one.select("doc_id", (F.col("page_no") - 1).alias("page_no"), "page_key", F.col("first").alias("head"), F.lit(None).cast("boolean").alias("goes_on")).unionByName(
         one.select("doc_id", (F.col("page_no") + 1).alias("page_no"), "page_key", F.lit(None).cast("string").alias("head"), F.col("ends").alias("goes_on"))
     )
     beside = sides.groupBy("doc_id", "page_no").agg(F.min(F.when(F.col("head").isNotNull(), F.struct("page_key", "head")))["head"].alias("head"), F.bool_or("goes_on").alias("goes_on"))
-    return marked.join(beside, ["doc_id", "page_no"], "left").select("page_key", "content", "lang", "skip", F.coalesce("head", F.lit("")).alias("head"), F.coalesce("goes_on", F.lit(False)).alias("goes_on"))
+    known = marked.select("page_key", "doc_id", "page_no").join(beside, ["doc_id", "page_no"]).groupBy("page_key").agg(F.min("head").alias("head"), F.bool_or("goes_on").alias("goes_on"))
+    out = spread(marked.select("page_key", "content", "lang", "skip"), "page_key").join(known, "page_key", "left")
+    return out.select("page_key", "content", "lang", "skip", F.coalesce("head", F.lit("")).alias("head"), F.coalesce("goes_on", F.lit(False)).alias("goes_on"))
 
 
 def _plain(token: str) -> list[str]:
@@ -354,7 +359,7 @@ def repairs(pages: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
     and word. Null, empty and blank contents give no row; a page without doc_id or page_no is a document of its own.
     """
     spark = pages.sparkSession
-    rows = structure(pages, jobs)
+    rows = Scratch(spark, "pages").cut(structure(pages, jobs))
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for r in lexicon(rows).collect():  # at most 1 / LEAST_SHARE words a language
         counts[r["lang"]][r["word"]] = r["n"]
