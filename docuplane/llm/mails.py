@@ -354,7 +354,7 @@ def with_ancestor(mails: DataFrame) -> DataFrame:
     named = rows.select("doc_id", F.posexplode("named").alias("place", "m")).where("m is not null").distinct()
     up = named.join(bodies.select("m"), "m", "left_semi").groupBy("doc_id").agg(F.min_by("m", "place").alias("m")).join(bodies, "m").select("doc_id", "ancestor", "sent")
     known = F.when(F.coalesce(F.col("sent") > F.col("at"), F.lit(False)), None).otherwise(F.col("ancestor"))
-    return rows.select("doc_id", "content", "sender", "at").join(up, "doc_id", "left").select("doc_id", "content", "sender", known.alias("ancestor"))
+    return spread(rows.select("doc_id", "content", "sender", "at"), "doc_id").join(up, "doc_id", "left").select("doc_id", "content", "sender", known.alias("ancestor"))
 
 
 def mail_blocks(mails: DataFrame) -> DataFrame:
@@ -369,7 +369,7 @@ def mail_blocks(mails: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "first", "last", "key", "label", "x"])
 
     rows = with_ancestor(mails).where("content is not null")
-    return spread(rows, "doc_id").mapInPandas(cut, "doc_id string, first int, last int, key bigint, label int, x array<float>")
+    return rows.mapInPandas(cut, "doc_id string, first int, last int, key bigint, label int, x array<float>")
 
 
 def with_frequency(blocks: DataFrame, least: int = 5) -> DataFrame:
