@@ -20,8 +20,8 @@ ADDRESS_KEYS = ["Message-From", "Message-To", "Message-CC", "Message-BCC"]
 SUBJECT_KEYS = ["Message-Subject", "dc:subject", "subject"]
 INTERNAL_KEYS = ["X-TIKA:content", "X-TIKA:embedded_resource_path", "resourceName", "X-TIKA:content_handler", "X-TIKA:content_handler_type", "X-TIKA:parse_time_millis", "X-TIKA:Parsed-By", "X-TIKA:Parsed-By-Full-Set"]
 DROPPED_KEYS = [k for k in INTERNAL_KEYS if k != "resourceName"]
-HIDDEN_PREFIXES = ["X-TIKA:", "X-Parsed-By", "pdf:", "access_permission:", "dc:", "dcterms:", "meta:", "cp:", "extended-properties:", "_aum_"]
-OWN_PREFIX = "_aum_"
+HIDDEN_PREFIXES = ["X-TIKA:", "X-Parsed-By", "pdf:", "access_permission:", "dc:", "dcterms:", "meta:", "cp:", "extended-properties:", "_docuplane_"]
+OWN_PREFIX = "_docuplane_"
 # Short labels of MIME types.
 MIME_LABELS = {
     "application/pdf": "PDF",

@@ -43,7 +43,7 @@ def test_path_tokens(spark, v, out):
 
 def test_curate(spark):
     rows = [
-        ("/data/in/a.eml", 0, "text \n\n\n more ", {"Message-From": ["ALICE <Alice@Example.com>"], "Message-To": ["bob@example.com", "alice@example.com"], "Author": ["Al"], "dcterms:created": ["2023-06-15T10:00:00Z"], "Content-Type": ["text/html; charset=UTF-8"], "Content-Length": ["no"], "References": ["<a> <b>", "c"], "_aum_x": ["1"], "X-TIKA:content": ["x"]}, None, None),
+        ("/data/in/a.eml", 0, "text \n\n\n more ", {"Message-From": ["ALICE <Alice@Example.com>"], "Message-To": ["bob@example.com", "alice@example.com"], "Author": ["Al"], "dcterms:created": ["2023-06-15T10:00:00Z"], "Content-Type": ["text/html; charset=UTF-8"], "Content-Length": ["no"], "References": ["<a> <b>", "c"], "_docuplane_x": ["1"], "X-TIKA:content": ["x"]}, None, None),
         ("/data/in/z.zip", 1, None, {}, "/data/in/z.zip/y.txt", "/data/in/z.zip"),
         ("/else/w", 0, "", {"dc:creator": [], "Author": ["hidden"]}, None, "/else"),
     ]
@@ -51,7 +51,7 @@ def test_curate(spark):
     a, b, c = sorted(I.curate(raw, "ix", "/data/in").collect(), key=lambda r: r.source_path)
     assert (a.creator, a.created_year, a.content_type, a.file_size, a.display_path) == ("Al", 2023, "text/html", None, "a.eml")
     assert a.email_addresses == ["alice@example.com", "bob@example.com"] and a.references == ["a", "b", "c"] and a.content == "text \n\n more"
-    assert set(a.metadata) & {"_aum_x", "X-TIKA:content"} == set()
+    assert set(a.metadata) & {"_docuplane_x", "X-TIKA:content"} == set()
     assert (b.display_path, b.extracted_from, b.document_type, b.content) == ("z.zip/y.txt", "z.zip", "Attachment", "")
     assert c.creator is None and c.display_path == "w" and c.extracted_from == "" and c.document_type == "Parent Document"
 
