@@ -23,10 +23,7 @@ def path_tokens(path: Column) -> Column:
 
 def condense_blank_lines(text: Column) -> Column:
     """Runs of lines that hold nothing but blanks become one empty line."""
-    lines = F.transform(F.split(text, "\n"), lambda s: F.regexp_replace(s, r"(?U)^\s+$", ""))
-    indexed = F.transform(lines, lambda s, i: F.struct(s.alias("s"), F.coalesce(F.get(lines, i - 1), F.lit("x")).alias("p"), i.alias("i")))
-    kept = F.filter(indexed, lambda x: (x.s != "") | (x.i == 0) | (x.p != ""))
-    return F.array_join(F.transform(kept, lambda x: x.s), "\n")
+    return F.regexp_replace(text, r"(?U)(\A|\n)\s*(?=\n|\z)", "$1")
 
 
 def sentences(text: Column) -> Column:

@@ -7,17 +7,19 @@ import os
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
-from docuplane.plans import search
+from docuplane.plans import meta, search
 from tests.oracle import connect, plain
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TEXTS = [
-    "plain", "", "Größe und Öl " * 30, "“quoted” " * 40, "é" * 150, "\U0001f69a" * 201, "a\x01b\x07" * 80, "x" * 79 + "é", "x" * 80 + "é", "\U0001f69a" * 80, "\U0001f69a" * 81, "é" * 41,
-    "a\n \n \t\nb", "a\n　\n\nb \n", "ä\n​\n\nb", "é\r\n\r\n\u0085\nb", " \n\n \nz", "a\x0b\n\x0c\n\x01\n\nb",
+    "plain", "", "Größe und Öl " * 30, "“quoted” " * 40, "é" * 150, "\U0001f69a" * 201, "a\x01b\x07" * 80, "x" * 79 + "é", "x" * 80 + "é", "\U0001f69a" * 80, "\U0001f69a" * 81, "é" * 45,
+    "a\n \n \t\nb", "a\n　\n  \nb \n", "ä\n​\n\nb", "é\r\n\r\n\u0085\nb", " \n \n \nz", "a\x0b\n\x0c\n\x01\n\x1c\n\nb", "\n", "\n\n \nb", "a\n ", "a\n\n\n",
+    "Harbour permit, PROVISIONAL harbour—permit permits", "permit permit permit", "üpermit éharbouré (harbour)/provisional\nharbour",
 ]
 #: White space as Unicode has it (Python's isspace has \x1c to \x1f besides).
-BLANKS = set("\t\n\x0b\x0c\r \x85\xa0     　") | {chr(c) for c in range(0x2000, 0x200B)}
+BLANKS = {chr(c) for c in [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]}
 
 
 def write(folder, name, **columns):
@@ -46,3 +48,29 @@ def test_snippets_of_every_text(spark, tmp_path):
 
 def test_snippets_with_all_of_the_sql(spark):
     assert has_all_of_its_sql(search.snippet_fallback, search.SQL["snippet_fallback"], spark)
+
+
+def condensed(text):
+    out = []
+    for line in text.replace("\n", "\n \n\n").split("\n"):
+        line = "" if line and set(line) <= BLANKS else line
+        if line or not out or out[-1]:
+            out.append(line)
+    return "\n".join(out)
+
+
+def truncated(text):
+    return text if len(text) <= 80 else text[:79] + "…"
+
+
+@pytest.mark.parametrize("query, expected", [(meta.condense_blank_lines, condensed), (meta.truncate_ellipsis, truncated)])
+def test_every_text(spark, tmp_path, query, expected):
+    write(tmp_path, "documents", doc_id=list(range(len(TEXTS) + 1)), text=pa.array([*TEXTS, None], pa.string()))
+    assert {r[0]: r[1] for r in query(spark, str(tmp_path)).collect()} == {i: expected(t) for i, t in enumerate(TEXTS)}
+    have = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").collect()}
+    assert {r[0]: r[1] for r in query(spark, SF).collect()} == {i: expected(t) for i, t in have.items()}
+
+
+@pytest.mark.parametrize("name", ["condense_blank_lines", "truncate_ellipsis"])
+def test_texts_with_all_of_the_sql(spark, name):
+    assert has_all_of_its_sql(meta.QUERIES[name], meta.SQL[name], spark)
