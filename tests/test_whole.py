@@ -4,6 +4,8 @@ The SQL of some queries leaves rows out; there the query has more rows, and test
 """
 
 import os
+import re
+import unicodedata
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -63,7 +65,16 @@ def truncated(text):
     return text if len(text) <= 80 else text[:79] + "…"
 
 
-@pytest.mark.parametrize("query, expected", [(meta.condense_blank_lines, condensed), (meta.truncate_ellipsis, truncated)])
+def highlighted(text):
+    parts = [""]
+    for c in text:  # runs of letters and digits at odd places
+        if (unicodedata.category(c)[0] in "LN") == len(parts) % 2:
+            parts.append("")
+        parts[-1] += c
+    return "".join(f"<mark>{p}</mark>" if re.fullmatch("(?ai)provisional|harbour|permit", p) else p for p in parts)
+
+
+@pytest.mark.parametrize("query, expected", [(meta.condense_blank_lines, condensed), (meta.truncate_ellipsis, truncated), (meta.highlight_terms, highlighted)])
 def test_every_text(spark, tmp_path, query, expected):
     write(tmp_path, "documents", doc_id=list(range(len(TEXTS) + 1)), text=pa.array([*TEXTS, None], pa.string()))
     assert {r[0]: r[1] for r in query(spark, str(tmp_path)).collect()} == {i: expected(t) for i, t in enumerate(TEXTS)}
@@ -71,6 +82,6 @@ def test_every_text(spark, tmp_path, query, expected):
     assert {r[0]: r[1] for r in query(spark, SF).collect()} == {i: expected(t) for i, t in have.items()}
 
 
-@pytest.mark.parametrize("name", ["condense_blank_lines", "truncate_ellipsis"])
+@pytest.mark.parametrize("name", ["condense_blank_lines", "truncate_ellipsis", "highlight_terms"])
 def test_texts_with_all_of_the_sql(spark, name):
     assert has_all_of_its_sql(meta.QUERIES[name], meta.SQL[name], spark)
