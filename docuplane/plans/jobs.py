@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 
 _JOBS = "(SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY coalesce(finished_at, TIMESTAMPTZ '1970-01-01 00:00:00+00') DESC, created_at DESC, total_files DESC) = 1)"
-#: Users: the first 500 customers by key; permissions: user k may see an index where (k + place of the index) % 7 = 0, every 50th all.
+#: Users: all customers (in the SQL the first 500 by key); permissions: user k may see an index where (k + place of the index) % 7 = 0, every 50th all.
 _USERS = "(SELECT 'user' || c_custkey AS user_name, c_custkey AS k FROM customer WHERE c_custkey <= 500)"
 _PERMISSIONS = f"(SELECT user_name, index_name FROM {_USERS} u, (SELECT index_name, row_number() OVER (ORDER BY index_name) AS n FROM index_profiles) i WHERE (k + n) % 7 = 0 UNION ALL SELECT user_name, '*' FROM {_USERS} WHERE k % 50 = 0)"
 
@@ -30,7 +30,7 @@ _PERMISSIONS = f"(SELECT user_name, index_name FROM {_USERS} u, (SELECT index_na
 def permissions(spark, d):
     from pyspark.sql import Window
 
-    users = table(spark, d, "customer").where("c_custkey <= 500").select(F.concat(F.lit("user"), "c_custkey").alias("user_name"), F.col("c_custkey").alias("k"))
+    users = table(spark, d, "customer").select(F.concat(F.lit("user"), "c_custkey").alias("user_name"), F.col("c_custkey").alias("k"))
     n = table(spark, d, "index_profiles").select("index_name", F.row_number().over(Window.orderBy("index_name")).alias("n"))
     own = users.join(F.broadcast(n), (F.col("k") + F.col("n")) % 7 == 0).select("user_name", "index_name")
     return own.unionByName(users.where("k % 50 = 0").select("user_name", F.lit("*").alias("index_name")))
@@ -123,7 +123,7 @@ def hybrid_enabled(spark, d):
 
 @query(f"SELECT p.index_name, u.user_name FROM {_USERS} u JOIN {_PERMISSIONS} p USING (user_name)")
 def join_index_users(spark, d):
-    users = table(spark, d, "customer").where("c_custkey <= 500").select(F.concat(F.lit("user"), "c_custkey").alias("user_name"))
+    users = table(spark, d, "customer").select(F.concat(F.lit("user"), "c_custkey").alias("user_name"))
     return users.join(permissions(spark, d), "user_name").select("index_name", "user_name")
 
 

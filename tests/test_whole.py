@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from docuplane.plans import meta, search
+from docuplane.plans import jobs, meta, search
 from tests.oracle import connect, plain
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -85,3 +85,17 @@ def test_every_text(spark, tmp_path, query, expected):
 @pytest.mark.parametrize("name", ["condense_blank_lines", "truncate_ellipsis", "highlight_terms"])
 def test_texts_with_all_of_the_sql(spark, name):
     assert has_all_of_its_sql(meta.QUERIES[name], meta.SQL[name], spark)
+
+
+def test_every_user(spark, tmp_path):
+    write(tmp_path, "customer", c_custkey=list(range(1, 1201)))
+    write(tmp_path, "index_profiles", index_name=["b", "a", "c"])
+    own = {(i, f"user{k}") for k in range(1, 1201) for n, i in enumerate("abc", 1) if (k + n) % 7 == 0} | {("*", f"user{k}") for k in range(50, 1201, 50)}
+    got = [(r.index_name, r.user_name) for r in jobs.join_index_users(spark, str(tmp_path)).collect()]
+    assert len(got) == len(own) and set(got) == own
+    assert {r.user_name for r in jobs.permissions(spark, str(tmp_path)).collect()} == {u for _, u in own}
+
+
+@pytest.mark.parametrize("name", ["join_index_users", "visible_indices", "visible_indices_all"])
+def test_users_with_all_of_the_sql(spark, name):
+    assert has_all_of_its_sql(jobs.QUERIES[name], jobs.SQL[name], spark)
