@@ -70,6 +70,8 @@ CHROME_LINES = [
 
 #: Where a page without known terms counts as a response: so many addresses of the same text, of at most so many words.
 SLUGS, WORDS = 4, 40
+#: Words of a line without an end mark that a notice may follow.
+HEADING = 8
 
 
 def _any(rx: list[str]) -> str:
@@ -98,10 +100,31 @@ def has_filler(text: Column) -> Column:
     return text.rlike(r"(?i)\b(?:lorem|ipsum|adipiscing|consectetur|eiusmod|incididunt|ullamco|nostrud|aliquip)\b") & F.exists(F.split(text, "\n"), bad)
 
 
+def has_notice(text: Column) -> Column:
+    """Whether a run of lines, all notices or chrome and at least one a notice, stands by itself in the text.
+
+    A run ends at blank lines and at other lines. It isn't by itself if it may be part of a wrapped sentence: the line before neither
+    ends a sentence nor is a heading of at most HEADING words before a capital, or the line after goes on in lower case.
+    """
+    notice, chrome = _any(NOTICE_LINES), _any(CHROME_LINES)
+    lines = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+
+    def after(s: Column, x: Column) -> Column:
+        # run: 0 none, 1 chrome only, 2 with a notice, 3 goes on with a sentence
+        hit, own = x.rlike(notice), x.rlike(notice) | x.rlike(chrome)
+        begins = (s.edge == "end") | ((s.edge == "heading") & x.rlike(r"^\p{Lu}"))
+        run = F.when((x == "") | ~own, 0).when(s.run == 0, F.when(begins, F.when(hit, 2).otherwise(1)).otherwise(3)).when((s.run == 1) & hit, 2).otherwise(s.run)
+        edge = F.when((x == "") | x.rlike(r"[.!?:…][\p{P}\p{S}]*$"), "end").when(F.size(F.split(x, " ")) <= HEADING, "heading").otherwise("open")
+        return F.struct(edge.alias("edge"), run.alias("run"), (s.found | ((s.run == 2) & ((x == "") | (~own & ~x.rlike(r"^\p{Ll}"))))).alias("found"))
+
+    begin = F.struct(F.lit("end").alias("edge"), F.lit(0).alias("run"), F.lit(False).alias("found"))
+    return F.exists(lines, lambda x: x.rlike(notice)) & F.aggregate(lines, begin, after, lambda s: s.found | (s.run == 2))
+
+
 def residue_evidence(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """key, has_placeholder, has_filler, is_notice, is_response for every row of docs.
 
-    is_notice: all lines of the text are notices or the chrome around them, with at least one notice. is_response: a text of at
+    is_notice: the text is or has in it a notice (has_notice). is_response: a text of at
     most WORDS words with an address in it, none of whose terms the rest of the text has, that the corpus holds (but for the
     address and numbers) for at least SLUGS addresses, at least twice at one host. Null, empty and blank texts have no evidence.
     A table without the host column counts as one host.
@@ -116,9 +139,7 @@ def residue_evidence(docs: DataFrame, key: str = "doc_id", text: str = "text", h
     seen = short.select(F.xxhash64(_skeleton(F.col("t"))).alias("s"), "h", slug.alias("slug"))
     by_host = seen.groupBy("s", "h").agg(F.count_distinct("slug").alias("n"))
     answers = by_host.groupBy("s").agg(F.sum("n").alias("n"), F.max("n").alias("m")).where((F.col("n") >= SLUGS) & (F.col("m") >= 2)).select("s", F.lit(True).alias("is_response"))
-    lines = F.filter(F.transform(F.split("t", r"[\r\n]+"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
-    notice, chrome = _any(NOTICE_LINES), _any(CHROME_LINES)
-    is_notice = (F.length("t") <= 40 * WORDS) & F.exists(lines, lambda x: x.rlike(notice)) & F.forall(lines, lambda x: x.rlike(notice) | x.rlike(chrome))
+    is_notice = has_notice(F.col("t"))
     found = rows.select(
         "k", has_placeholder(F.col("t")).alias("has_placeholder"), has_filler(F.col("t")).alias("has_filler"), is_notice.alias("is_notice"),
         F.when((F.length("t") <= 40 * WORDS) & (slug != ""), F.xxhash64(_skeleton(F.col("t")))).alias("s"),

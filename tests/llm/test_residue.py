@@ -30,3 +30,17 @@ def test_the_same_answer_for_many_addresses(spark):
     rows = [(i, page.format(w, w), "h1" if i < 3 else "h2") for i, w in enumerate(["anchor", "barley", "copper", "depot"])] + [(9, page.format("anchor", "x") + " ganz anders", "h1")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     assert sorted(r.doc_id for r in R.residue(df).collect()) == [0, 1, 2, 3]
+
+
+def test_notices_within_real_text(spark):
+    real = "The harbour was closed in the winter of 1907, and nine ships waited for the ice to break."
+    bad = [
+        f"{real}\n\nClick here to add text\n\n{real}", f"{real}\nMustertext für die zweite Spalte\n{real}", f"Quarterly results\nClick here to add text\n{real}", f"{real}\r\n\r\nPlease enable JavaScript and cookies to continue.\r\n", f"404 Not Found\n\n{real}",
+        "Traceback (most recent call last):\n" + '  File "/srv/app/page.py", line 3, in page\n' * 200 + "KeyError: 'body'",
+    ]
+    good = [
+        f"{real}\n\nUsers who open the list without scripts are told in a long banner to\nPlease enable JavaScript and cookies to continue.\n{real}", f"{real} The log says\npage not found for every\naddress of the old list.", f"{real}\nPage not found is the message\nthat readers of the old list were given.",
+        "Users asked why the portal tells them to enable JavaScript; the answer is in section 9.\n\n" + real,
+    ]
+    df = spark.createDataFrame(list(enumerate(bad + good)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in R.residue_evidence(df).where("is_notice").collect()) == list(range(len(bad)))
