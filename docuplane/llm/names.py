@@ -159,8 +159,9 @@ def _clean(raw: str) -> str:
 
 def read_name(raw: str | None) -> dict:
     """kind (person, org or ''), name (family or own name in plain letters), given (names it may stand for), initial, org (initials of the
-    kind's words), weak (only an initial or an ambiguous short form). Null, empty and strings without letters give kind ''."""
-    out = {"kind": "", "name": "", "given": [], "initial": "", "org": "", "weak": False}
+    kind's words), weak (only an initial or an ambiguous short form), other (what the name is in another order of the words: the first name of a
+    person where nothing tells which of two is the family name, the sorted own words of an organisation; '' else). Null, empty and strings without letters give kind ''."""
+    out = {"kind": "", "name": "", "given": [], "initial": "", "org": "", "weak": False, "other": ""}
     if not raw or not _WORD.search(raw):
         return out
     s = _clean(raw)
@@ -181,7 +182,7 @@ def read_name(raw: str | None) -> dict:
     if any(k for _, k in kinds) and sum(bool(k) for _, k in kinds) >= (2 if "," in s and _WORD.fullmatch(s.split(",")[0]) else 1) or (acronym and not shouted and len(words) == 2 and "," not in s and words[1] in acronym):
         own = [plain(w.rstrip(".")) for w, k in kinds if not k and fold(w.rstrip(".")) not in LEGAL + ["the", "of", "and", "for"] and w not in acronym]
         kind = "".join(k[0] for _, k in kinds if k) or (acronym[0].lower() if acronym else "")
-        return out | {"kind": "org", "name": "".join(own), "org": kind}
+        return out | {"kind": "org", "name": "".join(own), "org": kind, "other": "".join(sorted(own)) if len(own) > 1 else ""}
     left, comma, right = s.partition(",")
     if comma and all(fold(w) in DEGREES for w in _WORD.findall(right)):
         left, comma, right = left, "", ""
@@ -213,6 +214,8 @@ def read_name(raw: str | None) -> dict:
             last, firsts = a[-1], a[:-1]
     first = next((f for f in firsts if len(f.rstrip(".")) > 1), firsts[0])
     out |= {"kind": "person", "name": plain(last.rstrip("."))}
+    if not (comma and b) and len(a) == 2 and min(len(x.rstrip(".")) for x in a) > 1 and _given(a[0])[1] == _given(a[1])[1] == 3:
+        out["other"] = plain(first.rstrip("."))
     if len(first.rstrip(".")) == 1:
         return out | {"initial": fold(first[0]), "weak": True}
     return out | _as_given(first)
@@ -225,12 +228,23 @@ def _as_given(first: str) -> dict:
     return {"given": sorted(names), "initial": fold(first)[0], "weak": len(names) > 1}
 
 
+def _alike(x: str, y: str) -> bool:
+    return (slips(x, y) <= 1 and jaro_winkler(x, y) >= 0.85) or fold(x) == fold(y)
+
+
 def same_name(a, b) -> bool:
-    """Whether two read names may be one person or organisation: own names alike but for one slip, given names compatible."""
+    """Whether two read names may be one person or organisation: own names alike but for one slip, given names compatible; or the same
+    words in another order, where the order isn't told."""
     if a["kind"] != b["kind"]:
         return False
-    if (slips(a["name"], b["name"]) > 1 or jaro_winkler(a["name"], b["name"]) < 0.85) and fold(a["name"]) != fold(b["name"]):
-        return False
+    if not _alike(a["name"], b["name"]):
+        if a["kind"] == "person":
+            ga, gb = list(a["given"]), list(b["given"])
+            if not (a["other"] or b["other"]) or len(ga) != 1 or len(gb) != 1:
+                return False
+            return _alike(a["name"], gb[0]) and _alike(b["name"], ga[0]) and (fold(a["name"]) == fold(gb[0]) or fold(b["name"]) == fold(ga[0]))
+        if not _alike(a["other"] or a["name"], b["other"] or b["name"]):
+            return False
     if a["kind"] == "org":
         return not a["org"] or not b["org"] or a["org"] == b["org"]
     ga, gb = set(a["given"]), set(b["given"])
@@ -241,7 +255,7 @@ def same_name(a, b) -> bool:
     return any(x[0] == b["initial"] for x in ga) if ga else any(y[0] == a["initial"] for y in gb) if gb else a["initial"] == b["initial"]
 
 
-_READ = T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("given", T.ArrayType(T.StringType())), T.StructField("initial", T.StringType()), T.StructField("org", T.StringType()), T.StructField("weak", T.BooleanType()), T.StructField("keys", T.ArrayType(T.StringType()))])
+_READ = T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("given", T.ArrayType(T.StringType())), T.StructField("initial", T.StringType()), T.StructField("org", T.StringType()), T.StructField("weak", T.BooleanType()), T.StructField("other", T.StringType()), T.StructField("keys", T.ArrayType(T.StringType()))])
 
 
 @F.pandas_udf(_READ)
@@ -250,7 +264,8 @@ def _read(raw: pd.Series) -> pd.DataFrame:
     for v in raw:
         r = read_name(v)
         n = r["name"]
-        r["keys"] = [] if not r["kind"] or not n else list(dict.fromkeys([f"{r['kind']}/{phonetic(n)}", *(f"{r['kind']}:{x}" for x in {n, fold(n), *(n[:i] + n[i + 1 :] for i in range(len(n)))})]))
+        names = [x for x in dict.fromkeys([n, r["other"]]) if r["kind"] and n and x]
+        r["keys"] = list(dict.fromkeys(k for n in names for k in [f"{r['kind']}/{phonetic(n)}", *(f"{r['kind']}:{x}" for x in {n, fold(n), *(n[:i] + n[i + 1 :] for i in range(len(n)))})]))
         rows.append(r)
     return pd.DataFrame(rows, columns=[f.name for f in _READ])
 

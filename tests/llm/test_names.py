@@ -59,3 +59,11 @@ def test_components(spark):
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
     assert components(links.limit(0)).count() == 0
+
+
+def test_names_in_another_order(spark):
+    names = ["Kelvyn Smithson", "Smithson Kelvyn", "Smithson, Kelvyn", "Smithsn Kelvyn", "Kelvyn Brandt", "Smithson Arvid", "Marek Tolvan", "Tolvan, Marek", "Marek, Tolvan", "Harbour Quayside Ltd", "Quayside Harbour Ltd", "Quayside Lantern Ltd"]
+    df = spark.createDataFrame([(i, "x", n) for i, n in enumerate(names)], "value_id bigint, index_name string, creator string")
+    got = {(r.a, r.b) for r in N.name_links(df).collect()}
+    assert {(0, 1), (1, 2), (0, 2), (0, 3), (2, 3), (9, 10), (6, 7)} <= got
+    assert not {p for p in got if 4 in p or 5 in p or 11 in p} and (7, 8) not in got
