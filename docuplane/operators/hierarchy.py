@@ -1,14 +1,17 @@
 """Parent-child links turned into full trees by leaf peeling.
 
-Peeling from the leaves up carries subtree sizes to the parents, one level a round; what never becomes a leaf lies on a loop. The
-rounds are then walked back from the roots, which hand path, depth and root down. Each round only touches the nodes that are
-still there, writes one table into the shared folder and so needs no long lineage. No group is ever collected: a parent with very
-many children only receives partial sums.
+Peeling from the leaves up carries subtree sizes to the parents, one level a round, and the levels are walked back from the roots,
+which hand path, depth and root down. A level of few leaves isn't worth a round: once less than an eighth of the nodes that are
+still there are leaves, chains (and loops) are left, and these are contracted by doubling: every node takes over the ancestor of its
+ancestor, which carries sums up and distances down over twice the way each round. What then still has an ancestor is on a loop or
+below one. So the rounds are logarithmic in the number of nodes, whatever the shape, and none is left out. Each round writes one
+table into the shared folder and so needs no long lineage. No group is ever collected: a parent with very many children only
+receives partial sums, and descendants are rows, not lists.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from docuplane.session import Scratch
 
@@ -51,73 +54,103 @@ def thread_links(mails: DataFrame) -> DataFrame:
     return links.join(ids, "to", "left_semi").groupBy("node").agg(F.min(F.struct("place", "to")).alias("x")).select("node", F.col("x.to").alias("parent"))
 
 
-def hierarchy(links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+_DONE = "node string, parent string, root string, depth bigint, n_below bigint, path array<string>"
+#: Peeling goes on while at least one node in so many is a leaf.
+WORTH = 8
+
+
+def _written(scratch: Scratch, df: DataFrame, **counts: Column) -> tuple[DataFrame, str, list[int]]:
+    """df written and read back, its path, its rows and the counts over it."""
+    seen = Observation()
+    path = scratch.write(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counts.items()]))
+    return scratch.read(path, schema=df.schema), path, [seen.get["rows"], *[seen.get[k] for k in counts]]
+
+
+def _contracted(scratch: Scratch, rest: DataFrame, paths: bool) -> DataFrame:
+    """_DONE of what peeling left (node, parent, below), by pointer doubling.
+
+    far: the ancestor 2 ** k above, null where the root is nearer; dist, low: the distance to it or to the root, and the smallest key,
+    of the way up to there; top: the root, if reached; total: the size of the subtree within the distance.
+    """
+    is_root = F.col("parent").isNull()
+    t, path, (n, far) = _written(scratch, rest.select(
+        "node", "parent", F.col("parent").alias("far"), F.when(is_root, 0).otherwise(1).cast("bigint").alias("dist"), F.col("node").alias("low"), F.when(is_root, F.col("node")).alias("top"), (F.col("below") + 1).alias("total"),
+    ), far=F.col("far").isNotNull())
+    reach, before = 1, -1
+    while far and (far != before or reach < far):
+        up = t.select(F.col("node").alias("far"), F.col("far").alias("far2"), F.col("dist").alias("dist2"), F.col("low").alias("low2"), F.col("top").alias("top2"))
+        sent = t.where("far is not null").groupBy(F.col("far").alias("node")).agg(F.sum("total").alias("more"))
+        step = t.join(up, "far", "left").join(sent, "node", "left").select(
+            "node", "parent", F.col("far2").alias("far"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.least("low", "low2").alias("low"), F.coalesce("top", "top2").alias("top"),
+            (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"),
+        )
+        old, before, reach = path, far, 2 * reach
+        t, path, (_, far) = _written(scratch, step, far=F.col("far").isNotNull())
+        scratch.drop(old)
+    tree = t.where("top is not null").select("node", "parent", F.col("top").alias("root"), F.col("dist").alias("depth"), (F.col("total") - 1).alias("n_below"))
+    tree = _with_ways(scratch, tree) if paths else tree.withColumn("path", F.lit(None).cast("array<string>"))
+    # the ancestor at least as far away as there are nodes left is on the loop, and the way from there goes all around
+    loops = t.where("top is null").join(t.select(F.col("node").alias("far"), F.col("low").alias("root")), "far")
+    none = F.lit(-1).cast("bigint")
+    return tree.unionByName(loops.select("node", "parent", "root", none.alias("depth"), none.alias("n_below"), F.lit(None).cast("array<string>").alias("path")))
+
+
+def _with_ways(scratch: Scratch, tree: DataFrame) -> DataFrame:
+    """tree with path, by doubling."""
+    t, path, (_, far) = _written(scratch, tree.withColumn("far", F.col("parent")).withColumn("path", F.array("node")), far=F.col("far").isNotNull())
+    while far:
+        up = t.select(F.col("node").alias("far"), F.col("far").alias("far2"), F.col("path").alias("way"))
+        step = t.join(up, "far", "left").withColumn("path", F.concat(F.coalesce("way", F.array().cast("array<string>")), "path"))
+        old = path
+        t, path, (_, far) = _written(scratch, step.select(*tree.columns, F.col("far2").alias("far"), "path"), far=F.col("far").isNotNull())
+        scratch.drop(old)
+    return t.drop("far")
+
+
+def hierarchy(links: DataFrame, paths: bool = True, worth: int = WORTH) -> DataFrame:
     """Trees of all links (node, parent; one parent per node, others are refused by taking the smallest).
 
-    Returns node, parent (null for a root), root, depth (root 0), n_below, path (keys from the root to the node) for every node
-    with a parent or child. On a loop or below one: root = the smallest key on the loop, depth = n_below = -1, path null. A node
-    that names itself is a loop of one. Empty links give an empty table. Rounds: one up and one down for each level of the
-    deepest tree, plus the logarithm of the longest loop.
+    Returns node, parent (null for a root), root, depth (root 0), n_below, path (keys from the root to the node, null where not asked
+    for by `paths`: the paths of a chain are as many as the square of its length) for every node with a parent or child. On a loop or
+    below one: root = the smallest key on the loop, depth = n_below = -1, path null. A node that names itself is a loop of one. Empty
+    links give an empty table. `worth` only says how soon contraction takes over from peeling, the rows don't depend on it.
     """
-    spark = links.sparkSession
-    scratch = Scratch(spark, "hierarchy")
-    kids = links.where("node is not null and parent is not null").groupBy("node").agg(F.min("parent").alias("parent"))
-    kids = scratch.cut(kids)
+    scratch = Scratch(links.sparkSession, "hierarchy")
+    kids = scratch.cut(links.where("node is not null and parent is not null").groupBy("node").agg(F.min("parent").alias("parent")))
     fan = kids.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("pending"))
     state = fan.join(kids, "node", "full").select("node", "parent", F.coalesce("pending", F.lit(0)).cast("bigint").alias("pending"), F.lit(0).cast("bigint").alias("below"))
-
-    def written(df: DataFrame) -> tuple[str, int, int]:
-        seen = Observation()
-        path = scratch.write(df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("pending") == 0).alias("leaves")))
-        return path, seen.get["n"], seen.get["leaves"]
-
-    schema = state.schema
-    path, n, leaves = written(state)
+    leaf = F.col("pending") == 0
+    now, path, (n, leaves) = _written(scratch, state, leaves=leaf)
     levels = []
-    while leaves and len(levels) < max_rounds:
-        levels.append(path)
-        now = scratch.read(path, schema=schema)
-        sent = now.where("pending = 0 and parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("c"), F.sum(F.col("below") + 1).alias("s"))
+    while leaves and leaves * worth >= n:
+        levels.append((now, path))
         if n == leaves:
-            n, path = 0, ""
+            n = 0
             break
-        rest = now.where("pending > 0").join(sent, "node", "left")
-        path, n, leaves = written(rest.select("node", "parent", (F.col("pending") - F.coalesce("c", F.lit(0))).alias("pending"), (F.col("below") + F.coalesce("s", F.lit(0))).alias("below")))
-
-    out = []
-    cols = ["node", "parent", "root", "depth", "n_below", "path"]
-    if n:  # the nodes on loops; the smallest key runs around each by pointer doubling
-        loop = scratch.read(path, schema=schema).select("node", F.col("parent").alias("p"), F.least("node", "parent").alias("low"), "parent")
-        changed = 1
-        while changed:
-            seen = Observation()
-            far = loop.select(F.col("node").alias("p"), F.col("p").alias("p2"), F.col("low").alias("low2"))
-            step = loop.join(far, "p").select("node", F.col("p2").alias("p"), F.least("low", "low2").alias("low"), "parent", (F.col("low2") < F.col("low")).alias("moved"))
-            at = scratch.write(step.observe(seen, F.count_if("moved").alias("moved")))
-            changed = seen.get["moved"]
-            loop = scratch.read(at).drop("moved")
-        none = F.lit(-1).cast("bigint")
-        top = loop.select("node", "parent", F.col("low").alias("root"), none.alias("depth"), none.alias("n_below"), F.lit(None).cast("array<string>").alias("path"))
-        out.append(scratch.write(top))
-    done_schema = f"node string, parent string, root string, depth bigint, n_below bigint, path array<string>"
-    for at in reversed(levels):
-        level = scratch.read(at, schema=schema).where("pending = 0").select("node", "parent", "below")
+        sent = now.where(leaf & F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("c"), F.sum(F.col("below") + 1).alias("s"))
+        rest = now.where(~leaf).join(sent, "node", "left")
+        now, path, (n, leaves) = _written(scratch, rest.select("node", "parent", (F.col("pending") - F.coalesce("c", F.lit(0))).alias("pending"), (F.col("below") + F.coalesce("s", F.lit(0))).alias("below")), leaves=leaf)
+
+    out = [scratch.write(_contracted(scratch, now, paths).select(*[c.split()[0] for c in _DONE.split(", ")]))] if n else []
+    for level, at in reversed(levels):
+        level = level.where(leaf).select("node", "parent", "below")
         if out:
-            above = scratch.read(*out, schema=done_schema).select(F.col("node").alias("parent"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("path").alias("way"))
+            above = scratch.read(*out, schema=_DONE).select(F.col("node").alias("parent"), F.col("root").alias("r"), F.col("depth").alias("d"), *[F.col("path").alias("way")] * paths)
             level = level.join(above, "parent", "left")
         else:
             level = level.selectExpr("*", "cast(null as string) r", "cast(null as bigint) d", "cast(null as array<string>) way")
         is_root, bad = F.col("parent").isNull(), F.col("d") == -1
+        way = F.when(is_root, F.array("node")).when(~bad, F.concat("way", F.array("node"))) if paths else F.lit(None).cast("array<string>")
         out.append(scratch.write(level.select(
             "node", "parent", F.when(is_root, F.col("node")).otherwise(F.col("r")).alias("root"),
             F.when(is_root, 0).when(bad, -1).otherwise(F.col("d") + 1).cast("bigint").alias("depth"),
             F.when(bad, -1).otherwise(F.col("below")).cast("bigint").alias("n_below"),
-            F.when(is_root, F.array("node")).when(~bad, F.concat("way", F.array("node"))).alias("path"),
+            way.alias("path"),
         )))
         scratch.drop(at)
     if not out:
-        return spark.createDataFrame([], done_schema)
-    return scratch.read(*out, schema=done_schema).select(*cols)
+        return links.sparkSession.createDataFrame([], _DONE)
+    return scratch.read(*out, schema=_DONE)
 
 
 def descendants(trees: DataFrame) -> DataFrame:
@@ -129,12 +162,24 @@ def descendants(trees: DataFrame) -> DataFrame:
     )
 
 
-def forest(index_docs: DataFrame, mail_docs: DataFrame) -> DataFrame:
-    """Container trees of the files and threads of the mails in one run: tree_kind, node_key, root_key, node_depth, n_below."""
+def _both(index_docs: DataFrame, mail_docs: DataFrame, paths: bool) -> DataFrame:
+    """Trees of the files (keys with c: before) and of the mails (t:)."""
 
     def tagged(links: DataFrame, tag: str) -> DataFrame:
         return links.select(F.concat(F.lit(tag), "node").alias("node"), F.concat(F.lit(tag), "parent").alias("parent"))
 
-    trees = hierarchy(tagged(container_links(index_docs), "c:").unionByName(tagged(thread_links(mail_docs), "t:")))
+    return hierarchy(tagged(container_links(index_docs), "c:").unionByName(tagged(thread_links(mail_docs), "t:")), paths)
+
+
+def forest(index_docs: DataFrame, mail_docs: DataFrame) -> DataFrame:
+    """Container trees of the files and threads of the mails in one run: tree_kind, node_key, root_key, node_depth, n_below."""
+    trees = _both(index_docs, mail_docs, paths=False)
     kind = F.when(F.col("node").startswith("c:"), "container").otherwise("thread")
     return trees.select(kind.alias("tree_kind"), F.substring("node", 3, 1 << 30).alias("node_key"), F.substring("root", 3, 1 << 30).alias("root_key"), F.col("depth").alias("node_depth"), "n_below")
+
+
+def forest_descendants(index_docs: DataFrame, mail_docs: DataFrame) -> DataFrame:
+    """tree_kind, ancestor_key, node_key, distance: every node with each of its ancestors, over the trees of forest()."""
+    pairs = descendants(_both(index_docs, mail_docs, paths=True))
+    kind = F.when(F.col("ancestor").startswith("c:"), "container").otherwise("thread")
+    return pairs.select(kind.alias("tree_kind"), F.substring("ancestor", 3, 1 << 30).alias("ancestor_key"), F.substring("descendant", 3, 1 << 30).alias("node_key"), "distance")

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Settings the plans rely on; all of them are runtime settings, so they also hold on a given session.
@@ -20,10 +21,12 @@ RUNTIME_CONF = {
 
 
 def build_session(app: str = "docuplane", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with RUNTIME_CONF; master and shuffle partitions only where given."""
+    """A session with RUNTIME_CONF; master and shuffle partitions only where given. A local one gets a local spark.checkpoint.dir."""
     b = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
     if master:
         b = b.master(master)
+        if master.startswith("local") and not SparkConf().contains("spark.checkpoint.dir"):
+            b = b.config("spark.checkpoint.dir", _local_dir())
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.config(map=RUNTIME_CONF).getOrCreate()
@@ -41,20 +44,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _local_dir() -> str:
+    return "file://" + os.path.join(tempfile.gettempdir(), "docuplane-shared")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Where that is unset, a local folder for a local master
+    (tests); RuntimeError for any other master, whose executors wouldn't see it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "docuplane-shared")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_dir()
     return root.rstrip("/")
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a path of the shared folder removed when the driver ends: plans made of it may run until then."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p if "." not in p.getName() else p.getParent())
+    fs.deleteOnExit(p)
+
+
 class Scratch:
-    """Written tables in the shared folder that cut the lineage of iterative plans and outlive lost executors."""
+    """Written tables in the shared folder that cut the lineage of iterative plans and outlive lost executors. They are removed when
+    the driver ends, those that no returned plan reads by drop()."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
+        remove_at_exit(spark, self.root)
 
     def write(self, df: DataFrame) -> str:
         """Write the rows, return the path."""

@@ -81,3 +81,22 @@ def test_links(spark):
     assert {tuple(r) for r in H.thread_links(mails).collect()} == {("m2", "m1"), ("m3", "m2"), ("m6", "m2")}
     forest = {(r.tree_kind, r.node_key): (r.root_key, r.node_depth, r.n_below) for r in H.forest(docs, mails).collect()}
     assert forest[("container", "1")] == ("1", 0, 3) and forest[("thread", "m3")] == ("m1", 2, 0)
+
+
+def test_long_chain_and_loops_by_contraction(spark):
+    chain = [(f"c{i:05d}", f"c{i - 1:05d}") for i in range(1, 20_001)]
+    loops = [(f"l{i:03d}", f"l{(i + 1) % 300:03d}") for i in range(300)] + [(f"b{i:03d}", f"b{i + 1:03d}" if i < 99 else "l007") for i in range(100)]
+    t = {r.node: r for r in H.hierarchy(spark.createDataFrame(chain + loops, "node string, parent string"), paths=False).collect()}
+    assert len(t) == 20_001 + 400
+    assert all((t[f"c{i:05d}"].root, t[f"c{i:05d}"].depth, t[f"c{i:05d}"].n_below) == ("c00000", i, 20_000 - i) for i in range(20_001))
+    assert all((r.root, r.depth, r.n_below) == ("l000", -1, -1) for k, r in t.items() if k[0] in "lb")
+
+
+def test_rows_do_not_depend_on_when_contraction_begins(spark):
+    random.seed(5)
+    links = [(f"n{i:02d}", f"n{max(0, i - random.choice((1, 1, 1, 7))):02d}") for i in range(1, 60)] + [("x", "y"), ("y", "x"), ("z", "x"), ("zz", "z")]
+    df = spark.createDataFrame(links, "node string, parent string")
+    for worth in (0, 2, 1000):
+        rows = H.hierarchy(df, worth=worth).collect()
+        assert {r.node: (r.root, r.depth, r.n_below) for r in rows} == brute(links)
+        assert all((r.path is None) == (r.depth == -1) and (r.path is None or len(r.path) == r.depth + 1) for r in rows)
