@@ -6,9 +6,9 @@ All of it is Catalyst expressions: a value is rewritten by the first pattern tha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docuplane.session import bounded_broadcast, small_enough
+from docuplane.session import Scratch, bounded_broadcast, small_enough
 
 # Month names of English, German, French and Spanish dates, by month.
 MONTH_NAMES = {
@@ -108,8 +108,9 @@ def _free(df: DataFrame) -> str:
     return tag
 
 
-def with_instant(df: DataFrame, value: str, home_zone: str, date_order: str, out: str = "instant_ms") -> DataFrame:
-    """Add `out`: epoch milliseconds (BIGINT) of the instant that the string column `value` denotes, else null.
+def with_instant(df: DataFrame, value: str, home_zone: str, date_order: str, out: str = "instant_ms", zone_out: str | None = None) -> DataFrame:
+    """Add `out`: epoch milliseconds (BIGINT) of the instant that the string column `value` denotes, else null; and `zone_out`, if it's
+    named: the zone the value itself carries (`Z` for UTC by name and counts of seconds), null for a value without zone.
 
     A value without zone is local to the column `home_zone`; numeric dates follow the column `date_order` (dmy, mdy, ymd; null
     counts as dmy). Years of two digits are 1969-2068. A clock time that occurs twice is the earlier instant, a skipped one moves
@@ -147,59 +148,130 @@ def with_instant(df: DataFrame, value: str, home_zone: str, date_order: str, out
         .when(v.rlike(r"^[0-9]{18}$"), F.expr(f"(try_cast({tag}v as bigint) - 116444736000000000L) div 10000"))
         .otherwise(F.unix_millis(whole) + f)
     )
+    if zone_out:
+        own = F.when(v.rlike(r"^[0-9]+$") | F.upper(p[8]).isin("Z", "UT", "UTC", "GMT"), F.lit("Z")).otherwise(_zone(F.nullif(p[8], F.lit("")), F.lit(None).cast("string")))
+        df = df.withColumn(zone_out, own)
     return df.withColumn(out, ms).drop(*[tag + c for c in "vpymdhisfaz"])
 
 
+#: Zones are compared by their offsets in every month of these years.
+HISTORY_YEARS = (1990, 2040)
+#: How much of an index's evidence must speak against its declared zone, more than against the best one, to overrule it.
+OVERRULE = 0.5
+_ZONE_NAME = "^[A-Za-z]+(/[A-Za-z0-9_+-]+)*$"
+#: Farther from the bound than any offset can carry it, a clock time is no evidence.
+_REACH = 26 * 60
 
-def estimate_zones(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+
+def _offset(at: Column, zone: Column) -> Column:
+    """Minutes that a zone is ahead of UTC at an instant."""
+    return F.floor((F.unix_seconds(F.from_utc_timestamp(at, zone)) - F.unix_seconds(at)) / 60).cast("int")
+
+
+def offset_histories(spark: SparkSession, first: DataFrame | None = None) -> DataFrame:
+    """zone, liked: one IANA zone for each history of offsets in HISTORY_YEARS; of several with the same, one of `first` (zone), then
+    the first by name. liked: 0 for a zone of `first`, else 1. Their number is that of the world's clocks, some hundreds, and doesn't
+    grow with the data."""
+    names = sorted(str(z) for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+    names = [z for z in names if "/" in z and not z.startswith(("Etc/", "SystemV/")) or z == "UTC"]
+    liked = {r.zone for r in first.select("zone").distinct().limit(10_000).collect()} & set(names) if first is not None else set()
+    zones = spark.createDataFrame([(z, int(z not in liked)) for z in names], "zone string, liked int")
+    months = F.sequence(F.lit(f"{HISTORY_YEARS[0]}-01-10 12:00:00").cast("timestamp"), F.lit(f"{HISTORY_YEARS[1]}-01-10 12:00:00").cast("timestamp"), F.expr("interval 1 month"))
+    history = F.xxhash64(F.transform(months, lambda t: _offset(t, F.col("zone"))))
+    found = zones.groupBy(history.alias("history")).agg(F.min(F.struct("liked", "zone")).alias("x")).select("x.zone", "x.liked").collect()
+    return spark.createDataFrame(sorted(map(tuple, found)), "zone string, liked int")
+
+
+def zone_evidence(rows: DataFrame, date_order: str | None = None) -> DataFrame:
+    """What the rows of an index tell about its zone, summed: index_name, kind, month, week (of the month, from 0), minutes, n.
+
+    rows: index_name, created, modified, indexed_at and the column named by date_order. kind `is`: n values of that week carry
+    the offset `minutes` themselves, which people's tools mostly take from their own zone. `above` and `below`: n clock times without
+    zone keep the order of events (created, then modified, both before the ingestion) only with an offset of at least or at most
+    `minutes`; kept where it's within a day of being broken. Counts are summed before the shuffle; months and minutes (in steps
+    of 15, as offsets are) are bounded by the calendar, not by the rows.
+    """
+    tag = _free(rows)
+    order, utc = f"{tag}order", f"{tag}utc"
+    df = rows.withColumn(utc, F.lit("UTC")).withColumn(order, F.col(date_order) if date_order else F.lit("dmy"))
+    for side in ("created", "modified"):
+        df = with_instant(df, side, utc, order, f"{tag}{side}", f"{tag}{side}_zone")
+    at, zone = (lambda side: F.col(f"{tag}{side}")), (lambda side: F.col(f"{tag}{side}_zone"))
+    none = F.lit(None).cast("struct<kind:string,at:bigint,minutes:int>")
+
+    def fact(kind: str, when: Column, ms: Column, minutes: Column) -> Column:
+        return F.when(when & minutes.between(-_REACH, _REACH), F.struct(F.lit(kind).alias("kind"), ms.alias("at"), minutes.cast("int").alias("minutes"))).otherwise(none)
+
+    def between(a: Column, b: Column, kind: str) -> Column:
+        quarters = (a - b) / 900_000
+        return (F.ceil(quarters) if kind == "above" else F.floor(quarters)) * 15
+
+    facts = []
+    for side in ("created", "modified"):
+        digits = F.regexp_replace(zone(side), "[^0-9]", "")
+        minutes = F.when(zone(side).startswith("-"), -1).otherwise(1) * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int"))
+        facts.append(fact("is", at(side).isNotNull() & zone(side).rlike("^[+-]"), at(side), minutes))
+        local = at(side).isNotNull() & zone(side).isNull()
+        # a clock time reads too late by the offset, which must bring it before the ingestion
+        facts.append(fact("above", local, at(side), between(at(side), F.unix_millis("indexed_at"), "above")))
+        kind, other = ("above", "modified") if side == "created" else ("below", "created")
+        firm = local & at(other).isNotNull() & zone(other).isNotNull()
+        facts.append(fact(kind, firm, at(side), between(at(side), at(other), kind)))
+    told = df.select("index_name", F.explode(F.filter(F.array(*facts), lambda x: x.isNotNull())).alias("x"))
+    day = F.timestamp_millis("x.at")
+    return told.groupBy("index_name", "x.kind", F.trunc(day, "month").alias("month"), F.floor((F.dayofmonth(day) - 1) / 7).cast("int").alias("week"), "x.minutes").agg(F.count("*").alias("n"))
+
+
+def estimate_zones(rows: DataFrame, candidates: DataFrame | None = None, date_order: str | None = None, declared: DataFrame | None = None) -> DataFrame:
     """Choose for each index the offset history (IANA zone) that its own rows violate least.
 
-    rows: index_name, created, modified, indexed_at; candidates: zone. Evidence in a row: a value without zone must not lie after
-    the ingestion (indexed_at), and a value that carries a numeric offset must carry the one the zone has at that instant (people's
-    tools mostly write their own zone). Returns
-    index_name, home_zone, violations, tests: least violations, then most tests, then the zone's name. Candidates are few (checked
-    before the broadcast, else a shuffled join); counts are summed before the shuffle. Empty rows give an empty result.
+    rows as in zone_evidence(); candidates: zone (at most 10,000), by default offset_histories(). Returns index_name, home_zone,
+    violations, tests: least violations, then the column `liked` of the candidates, if they have one, then the zone's name. declared
+    (index_name, home_zone): a zone that is known; it is a candidate too and stays unless violated in more than OVERRULE of the tests
+    beyond the best. Zones meet the summed evidence, never the rows: its weeks get the distinct offsets there are, and the
+    zones then the sums of their offsets. An index without evidence has its declared zone, else no row. Empty rows give an
+    empty result.
     """
-    offset = F.regexp_extract(F.trim("__raw"), r"([+-][0-9]{2}):?([0-9]{2})'?\]?$", 0)
-    ordered = (
-        rows.select("index_name", "indexed_at", F.explode(F.array("created", "modified")).alias("__raw"))
-        .where(F.col("__raw").isNotNull())
-        .crossJoin(F.broadcast(candidates.select(F.col("zone"))) if small_enough(candidates, 1000) else candidates.select("zone"))
-        .withColumn("__none", F.lit(None).cast("string"))
-    )
-    bare = with_instant(ordered.withColumn("__order", F.lit("dmy")), "__raw", "__none", "__order", "__fixed")
-    local = with_instant(bare, "__raw", "zone", "__order", "__local")
-    digits = F.regexp_replace(offset, "[^0-9+-]", "")
-    sign = F.when(digits.startswith("-"), -1).otherwise(1)
-    minutes = sign * (F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int"))
-    instant = F.timestamp_millis("__fixed")
-    of_zone = (F.unix_seconds(F.from_utc_timestamp(instant, F.col("zone"))) - F.unix_seconds(instant)) / 60
-    says_offset = F.col("__fixed").isNotNull() & (offset != "")
-    no_zone = F.col("__fixed").isNull() & F.col("__local").isNotNull()
-    wrong = F.when(says_offset, (minutes != of_zone).cast("long")).when(no_zone, (F.col("__local") > F.unix_millis("indexed_at")).cast("long"))
-    scored = local.groupBy("index_name", "zone").agg(F.coalesce(F.sum(wrong), F.lit(0)).alias("violations"), F.count(wrong).alias("tests"))
-    w = Window.partitionBy("index_name").orderBy("violations", F.desc("tests"), "zone")
-    return scored.withColumn("__r", F.row_number().over(w)).where("__r = 1").select("index_name", F.col("zone").alias("home_zone"), "violations", "tests")
+    told = zone_evidence(rows, date_order)
+    if candidates is None:
+        candidates = offset_histories(rows.sparkSession, None if declared is None else declared.select(F.col("home_zone").alias("zone")))
+    known = rows.sparkSession.createDataFrame([], "index_name string, home_zone string") if declared is None else declared.where("index_name is not null and home_zone is not null").select("index_name", "home_zone")
+    every = candidates.select("zone", F.col("liked") if "liked" in candidates.columns else F.lit(1).alias("liked")).unionByName(known.select(F.col("home_zone").alias("zone"), F.lit(0).alias("liked")))
+    zones = every.where("zone is not null").groupBy("zone").agg(F.min("liked").alias("liked")).limit(10_001).collect()
+    if len(zones) > 10_000:
+        raise ValueError("more than 10000 candidate zones")
+    told = told.where("month is not null")
+    listed = F.array(*[F.struct(F.lit(z.zone).alias("zone"), F.lit(z.liked).alias("liked")) for z in zones]) if zones else F.array().cast("array<struct<zone:string,liked:int>>")
+    begin = F.date_add("month", F.col("week") * 7).cast("timestamp")
+    clocks = told.select("month", "week").distinct().withColumn("z", F.explode(listed)).select("month", "week", "z.zone", "z.liked", _offset(begin, F.col("z.zone")).alias("offset"))
+    seen = clocks.select("month", "week", "offset").distinct()
+    wrong = F.when(F.col("kind") == "is", F.col("offset") != F.col("minutes")).when(F.col("kind") == "above", F.col("offset") < F.col("minutes")).otherwise(F.col("offset") > F.col("minutes"))
+    broken = told.join(seen, ["month", "week"]).groupBy("index_name", "month", "week", "offset").agg(F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias("v"), F.sum("n").alias("t"))
+    scored = broken.join(clocks, ["month", "week", "offset"]).groupBy("index_name", "zone", "liked").agg(F.sum("v").alias("violations"), F.sum("t").alias("tests"))
+    scored = scored.join(known.select("index_name", F.col("home_zone").alias("zone"), F.lit(1).alias("known")), ["index_name", "zone"], "full")
+    of = lambda c: F.coalesce(c, F.lit(0))
+    rank = F.struct(of("violations") - of("known") * OVERRULE * of("tests"), -of("known"), "liked", "zone")
+    best = F.min_by(F.struct("zone", of("violations").alias("violations"), of("tests").alias("tests")), rank)
+    return scored.groupBy("index_name").agg(best.alias("x")).select("index_name", F.col("x.zone").alias("home_zone"), "x.violations", "x.tests")
 
 
 def normalise_dates(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """created and modified of docs as UTC instants: adds created_ms, modified_ms (BIGINT) and created_utc_year (BIGINT).
 
-    docs: index_name, created, modified and any others, which stay; profiles: index_name (unique), home_zone, date_order. The zone
-    of an index without a usable home_zone is estimated from its rows (needs indexed_at); an index without profile is estimated
-    too. Null and nonsense give null; an empty table gives an empty one.
+    docs: index_name, created, modified and any others, which stay; profiles: index_name (unique), home_zone, date_order. The zone of
+    every index is estimated from its rows (estimate_zones, needs indexed_at), with the home_zone of its profile as the declared
+    one; without indexed_at only declared zones count. Null and nonsense give null; an empty table gives an empty one.
     """
     keep = [c for c in docs.columns if c not in ("created_ms", "modified_ms", "created_utc_year")]
     docs = docs.select(*keep)
-    home, order, guessed = (f"{_free(docs)}{c}" for c in ("home", "order", "guess"))
-    p = profiles.select("index_name", F.col("home_zone").alias(home), F.col("date_order").alias(order)).dropDuplicates(["index_name"])
-    known = p.where(F.col(home).rlike("^[A-Za-z]+(/[A-Za-z_+-]+)*$"))
-    if "indexed_at" in docs.columns and not (lost := docs.select("index_name").distinct().join(known, "index_name", "left_anti")).isEmpty():
-        zones = known.select(F.col(home).alias("zone")).distinct()
-        guess = estimate_zones(docs.join(bounded_broadcast(lost, 10_000), "index_name", "left_semi"), zones)
-        p = p.join(guess.select("index_name", F.col("home_zone").alias(guessed)), "index_name", "full").withColumn(
-            home, F.when(F.col(home).rlike("^[A-Za-z]+(/[A-Za-z_+-]+)*$"), F.col(home)).otherwise(F.col(guessed))
-        ).drop(guessed)
+    home, order = (f"{_free(docs)}{c}" for c in ("home", "order"))
+    p = profiles.where("index_name is not null").groupBy("index_name").agg(F.min("home_zone").alias(home), F.min("date_order").alias(order))
+    p = p.withColumn(home, F.when(F.col(home).rlike(_ZONE_NAME), F.col(home)))
+    if "indexed_at" in docs.columns:
+        orders = bounded_broadcast(p.select("index_name", order), 10_000)
+        rows = docs.select("index_name", "created", "modified", "indexed_at").where("index_name is not null").join(orders, "index_name", "left")
+        zones = Scratch(docs.sparkSession, "zones").cut(estimate_zones(rows, date_order=order, declared=p.select("index_name", F.col(home).alias("home_zone"))))
+        p = p.drop(home).join(zones.select("index_name", F.col("home_zone").alias(home)), "index_name", "full")
     df = docs.join(bounded_broadcast(p, 10_000), "index_name", "left")
     df = with_instant(with_instant(df, "created", home, order, "created_ms"), "modified", home, order, "modified_ms")
     return df.withColumn("created_utc_year", F.year(F.timestamp_millis("created_ms")).cast("bigint")).drop(home, order)

@@ -10,6 +10,14 @@ def p1_found(spark, d):
     return timestamps.date_repairs(table(spark, d, "index_docs"), table(spark, d, "index_profiles"))
 
 
+def p1_zones(spark, d):
+    """The zone of each index as its rows alone tell it, without home_zone: index_name, home_zone, violations, tests."""
+    p = table(spark, d, "index_profiles")
+    docs = table(spark, d, "index_docs").select("index_name", "created", "modified", "indexed_at").join(p.select("index_name", "date_order"), "index_name", "left")
+    known = timestamps.offset_histories(spark, p.select(p.home_zone.alias("zone")))
+    return timestamps.estimate_zones(docs, known, "date_order")
+
+
 def p4_found(spark, d):
     return hierarchy.forest(table(spark, d, "index_docs"), table(spark, d, "mail_docs"))
 
@@ -18,7 +26,7 @@ def p4_descendants(spark, d):
     return hierarchy.forest_descendants(table(spark, d, "index_docs"), table(spark, d, "mail_docs"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_descendants": p4_descendants}
+QUERIES = {"p1_found": p1_found, "p1_zones": p1_zones, "p4_found": p4_found, "p4_descendants": p4_descendants}
 _PATH = "array_to_string(list_filter(string_split(replace({0}, '\\', '/'), '/'), lambda s: s <> '' AND s <> '.'), '/')"
 _ID = r"nullif(regexp_replace({0}, '^[\s<>]+|[\s<>]+$', '', 'g'), '')"
 
