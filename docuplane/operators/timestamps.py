@@ -6,7 +6,7 @@ All of it is Catalyst expressions: a value is rewritten by the first pattern tha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docuplane.session import Scratch, bounded_broadcast, small_enough
 
@@ -158,6 +158,8 @@ def with_instant(df: DataFrame, value: str, home_zone: str, date_order: str, out
 HISTORY_YEARS = (1990, 2040)
 #: How much of an index's evidence must speak against its declared zone, more than against the best one, to overrule it.
 OVERRULE = 0.5
+#: Zones so close to the best, as a share of the tests, are no worse than it: evidence is told apart by weeks.
+EQUAL = 0.02
 _ZONE_NAME = "^[A-Za-z]+(/[A-Za-z0-9_+-]+)*$"
 #: Farther from the bound than any offset can carry it, a clock time is no evidence.
 _REACH = 26 * 60
@@ -226,8 +228,8 @@ def estimate_zones(rows: DataFrame, candidates: DataFrame | None = None, date_or
     """Choose for each index the offset history (IANA zone) that its own rows violate least.
 
     rows as in zone_evidence(); candidates: zone (at most 10,000), by default offset_histories(). Returns index_name, home_zone,
-    violations, tests: least violations, then the column `liked` of the candidates, if they have one, then the zone's name. declared
-    (index_name, home_zone): a zone that is known; it is a candidate too and stays unless violated in more than OVERRULE of the tests
+    violations, tests: of the zones within EQUAL of the least violations the first by the column `liked` of the candidates, if they
+    have one, then by violations, then by name. declared (index_name, home_zone): a zone that is known; it is a candidate too and stays unless violated in more than OVERRULE of the tests
     beyond the best. Zones meet the summed evidence, never the rows: its weeks get the distinct offsets there are, and the
     zones then the sums of their offsets. An index without evidence has its declared zone, else no row. Empty rows give an
     empty result.
@@ -250,8 +252,10 @@ def estimate_zones(rows: DataFrame, candidates: DataFrame | None = None, date_or
     scored = broken.join(clocks, ["month", "week", "offset"]).groupBy("index_name", "zone", "liked").agg(F.sum("v").alias("violations"), F.sum("t").alias("tests"))
     scored = scored.join(known.select("index_name", F.col("home_zone").alias("zone"), F.lit(1).alias("known")), ["index_name", "zone"], "full")
     of = lambda c: F.coalesce(c, F.lit(0))
-    rank = F.struct(of("violations") - of("known") * OVERRULE * of("tests"), -of("known"), "liked", "zone")
-    best = F.min_by(F.struct("zone", of("violations").alias("violations"), of("tests").alias("tests")), rank)
+    scored = scored.select("index_name", "zone", "liked", of("violations").alias("violations"), of("tests").alias("tests"), of("known").alias("known"))
+    scored = scored.withColumn("cost", F.col("violations") - F.col("known") * OVERRULE * F.col("tests"))
+    scored = scored.withColumn("far", F.col("cost") > F.min("cost").over(Window.partitionBy("index_name")) + EQUAL * F.col("tests"))
+    best = F.min_by(F.struct("zone", "violations", "tests"), F.struct("far", -F.col("known"), "liked", "violations", "zone"))
     return scored.groupBy("index_name").agg(best.alias("x")).select("index_name", F.col("x.zone").alias("home_zone"), "x.violations", "x.tests")
 
 
