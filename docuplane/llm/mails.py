@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -506,17 +507,18 @@ EXAMPLES = [
  Ce message est confidentiel et destiné à la seule personne nommée ; toute copie est interdite."""),
 ]
 #: How often the examples count beside the corpus.
-EXAMPLE_WEIGHT = 20
+EXAMPLE_WEIGHT = 10
 
 
 def examples() -> tuple[np.ndarray, np.ndarray]:
-    """Figures and labels of the blocks of EXAMPLES, each with the counts of a rare and of a frequent block."""
+    """Figures and labels of the blocks of EXAMPLES, each with the counts of a rare and of a frequent block, in a mail that answers
+    another and in one that doesn't."""
     x, y = [], []
     for sender, text in EXAMPLES:
         lines = text.split("\n")
         for b in blocks_of("\n".join(t[1:] for t in lines), sender):
-            for counts in ([1, 1, 1, 0], [7, 6, 4, 0.5]):
-                x.append([float(b.figures[f]) for f in FEATURES] + counts)
+            for counts, answers in product(([1, 1, 1, 0], [7, 6, 4, 0.5]), (0, 1)):
+                x.append([float(answers if f == "has_ancestor" else b.figures[f]) for f in FEATURES] + counts)
                 y.append(float(lines[b.first][0] == "+"))
     return np.array(x), np.array(y)
 
