@@ -1,14 +1,17 @@
 """Template residue, filler and error pages among real documents.
 
 Everything is Catalyst expressions. Placeholders and filler are looked for sentence by sentence, so that a sentence that only
-speaks of them doesn't count. A page that is nothing but a notice is recognised by its terms and by evidence of the corpus: the
-same low-information response given for different addresses (slugs that its body doesn't explain), or again and again by hosts.
+speaks of them doesn't count. Notices in place of content are told by two kinds of evidence: by terms that such pages have
+anywhere, and by the corpus itself, which gives the same short answer for different addresses and titles, at several hosts, in words that
+its real texts don't use.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docuplane.session import Scratch, bounded_broadcast
+
 # Words of the usual filler text.
 FILLER_WORDS = (
     "lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna "
@@ -48,7 +51,7 @@ NOTICE_LINES = [
     r"too many requests.*", r"(?:request|connection|gateway) (?:has )?timed? ?out.*", r"this site can[’']t be reached.*", r".{0,120}took too long to respond.*",
     r"(?:oops[!.,]* ?)?something went wrong.*", r"(?:your )?session (?:has )?expired.*", r"(?:this )?(?:document|page|file|content) (?:could not|cannot|can't) be (?:displayed|shown|loaded).*",
     r"preview (?:is )?not available.*", r"traceback \(most recent call last\):?", r"fatal error: .*", r"(?:uncaught|unhandled) (?:exception|error)\b.*", r"stack trace:.*", r"type exception report.*",
-    r"upstream gave no answer.*", r"<html>.*\b[45][0-9][0-9]\b.*",
+    r"<html>.*\b[45][0-9][0-9]\b.*",
     # scripts and checks of the browser
     r"(?:please |you need to |you must )?(?:enable|activate|turn on|switch on) (?:javascript|scripts|cookies)\b.*", r"javascript is (?:turned off|disabled|required|not enabled)\b.*",
     r"(?:this|the) (?:page|site|app|document) (?:needs|requires) (?:java)?scripts?\b.*", r"<noscript>.*", r"(?:java)?scripts? (?:is|are) required\b.*",
@@ -56,20 +59,21 @@ NOTICE_LINES = [
     r"(?:we are )?checking your browser\b.*", r"verify(?:ing)? (?:that )?you are (?:a )?human\b.*", r"just a moment\.*",
     # sample text and values that were never filled
     r"(?:[\w.]+ )?(?:sample|dummy|placeholder) (?:text|content|page)\b.*", r"your text (?:goes )?here\b.*", r"click here to add (?:text|a title|a subtitle)\b.*", r"untitled(?: document)?",
-    r"hello world!? this is your first post\b.*", r"(?:mustertext|blindtext|texto de ejemplo|texte d'exemple)\b.*", r"(?:body text ?){2,}", r"\[object object\]", r"(?:undefined ?)+", r"(?:null|nan|n/a|none|nil)",
+    r"hello world!? this is your first post\b.*", r"(?:mustertext|blindtext|texto de ejemplo|texte d'exemple)\b.*", r"\[object object\]", r"(?:undefined ?)+", r"(?:null|nan|n/a|none|nil)",
     r"tbd|tba|to be (?:completed|done|defined|announced)|todo|fixme", r"(?:x{2,} ?){2,}", r"(?:(?:asdf|qwer|qwerty|jkl|hjkl|zxcv|fdsa|yxcv)[a-z]{0,3} ?){2,}",
 ]
 
 # Lines around a notice that say nothing themselves.
 CHROME_LINES = [
     r"(?:home|search|help|menu|login|sign in|contact|about|back|next|imprint|start|accueil|inicio|hilfe|suche)(?: *[|>·/-] *(?:home|search|help|menu|login|sign in|contact|about|back|next|imprint|accueil|inicio|hilfe|suche))*",
-    r"(?:\(c\)|©|copyright)(?: .{0,60})?", r".{0,40}\b(?:portal|viewer)", r"proxy v[0-9.]+", r"retour à l'accueil", r"please (?:try again|sign in)\b.*", r"title|subtitle",
+    r"(?:\(c\)|©|copyright)(?: .{0,60})?", r".{0,40}\b(?:portal|viewer)", r"proxy v[0-9.]+", r"retour à l'accueil", r"please (?:try again|sign in)\b.*",
     r"#[0-9]+ [\w.{}]+", r"file \".*\", line [0-9]+.*", r"at [\w.$]+\(.*\)", r"[\p{L}]+error: .*", r"[\p{P}\p{S} ]+",
     r"(?:request id|message|reference|ray id|incident)\b.{0,60}", r"[\p{L}]{1,30}",
 ]
 
-#: Where a page without known terms counts as a response: so many addresses of the same text, of at most so many words.
-SLUGS, WORDS = 4, 40
+#: A text of at most so many different words says little. A line of such texts is an answer if so many texts of so many hosts have it
+#: and if such a share of its words stand for the most part in lines like it.
+WORDS, TEXTS, HOSTS, OWN_SHARE = 40, 3, 2, 0.25
 #: Words of a line without an end mark that a notice may follow.
 HEADING = 8
 
@@ -78,8 +82,19 @@ def _any(rx: list[str]) -> str:
     return "(?iu)^(?:" + "|".join(rx) + ")$"
 
 
-def _skeleton(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"/[\p{L}\p{N}_.\-/]+", "/"), r"[0-9]+", "0")
+def _lines(text: Column) -> Column:
+    """The lines of a text without outer white space and without empty ones."""
+    trimmed = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    return F.filter(trimmed, lambda x: x != "")
+
+
+def _skeleton(line: Column) -> Column:
+    """A line as answers are compared: lower case, addresses and whatever has digits alike."""
+    return F.regexp_replace(F.regexp_replace(F.lower(line), r"/[\p{L}\p{N}_.\-]+(?:/[\p{L}\p{N}_.\-]*)+", "/"), r"[^\s/]*[0-9][^\s/]*", "0")
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) > 1))
 
 
 def has_placeholder(text: Column) -> Column:
@@ -121,30 +136,52 @@ def has_notice(text: Column) -> Column:
     return F.exists(lines, lambda x: x.rlike(notice)) & F.aggregate(lines, begin, after, lambda s: s.found | (s.run == 2))
 
 
+def answers(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """key of the rows that are an answer in place of content, by the evidence of the corpus alone.
+
+    A text of at most WORDS different words is one if every line of it is an answer or a line of at most three words, and one at
+    least is an answer that neither an address in the text nor its title explains: a line that TEXTS texts of HOSTS hosts share, but
+    for addresses and numbers, and whose words stand for the most part in such lines. A line that shares a term of over
+    three letters with the slug of an address, or with a title (a first line without end mark) that isn't itself an answer, is
+    explained. Counted over all rows, summed per line and host before the shuffle.
+    """
+    where = F.coalesce(F.col(host), F.lit("")) if host in docs.columns else F.lit("")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), where.alias("h")).where("k is not null and t is not null")
+    short = rows.where(F.size(_terms(F.col("t"))).between(1, WORDS))
+    slug = F.regexp_extract("t", r"/[\p{L}\p{N}_.\-]+/[\p{L}\p{N}_.\-/]*[\p{L}\p{N}]", 0)
+    long_terms = lambda c: F.filter(_terms(c), lambda w: F.length(w) > 3)
+    parts = short.select("k", "h", F.xxhash64("t").alias("copy"), long_terms(slug).alias("slug"), F.posexplode(_lines(F.col("t"))).alias("place", "line"))
+    parts = parts.select("k", "h", "copy", "slug", "place", _terms(F.regexp_replace("line", r"/[\p{L}\p{N}_.\-]+/[\p{L}\p{N}_.\-/]*", " ")).alias("w"), F.xxhash64(_skeleton(F.col("line"))).alias("s"))
+    parts = Scratch(docs.sparkSession, "answers").cut(parts)
+    by_host = parts.groupBy("s", "h").agg(F.count_distinct("k").alias("n"), F.min("w").alias("w"))
+    again = by_host.groupBy("s").agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), F.min("w").alias("w")).where((F.col("n") >= TEXTS) & (F.col("hosts") >= HOSTS) & (F.size("w") > 0))
+    again = Scratch(docs.sparkSession, "again").cut(again.select("s", "n", "w"))
+    of_lines = again.select("n", F.explode("w").alias("word")).groupBy("word").agg(F.sum("n").alias("inside"))
+    every = rows.select(F.explode(_terms(F.col("t"))).alias("word")).join(bounded_broadcast(of_lines.select("word"), 200_000), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    own = of_lines.join(every, "word").where(F.col("inside") * 2 >= F.col("n")).select("word")
+    marked = again.select("s", F.size("w").alias("m"), F.explode("w").alias("word")).join(own, "word").groupBy("s", "m").agg(F.count("*").alias("own"))
+    good = marked.where(F.col("own") >= OWN_SHARE * F.col("m")).select("s", F.lit(True).alias("good"))
+    seen = parts.join(good, "s", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    title = F.max(F.when((F.col("place") == 0) & ~F.col("good"), F.filter("w", lambda x: F.length(x) > 3)))
+    told = F.collect_list(F.when(F.col("good"), F.col("w")))
+    # a low-information text has few lines, so what is gathered of one is bounded by WORDS but for repeated lines
+    whole = seen.where("good or size(w) > 0").groupBy("k", "copy", "slug").agg(F.bool_and(F.col("good") | (F.size("w") <= 3)).alias("all"), F.coalesce(title, F.array().cast("array<string>")).alias("title"), F.array_distinct(told).alias("told"))
+    alien = F.exists("told", lambda w: ~F.arrays_overlap(w, F.col("slug")) & ~F.arrays_overlap(w, F.col("title")))
+    return whole.where(F.col("all") & alien).select(F.col("k").alias(key)).distinct()
+
+
 def residue_evidence(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """key, has_placeholder, has_filler, is_notice, is_response for every row of docs.
 
-    is_notice: the text is or has in it a notice (has_notice). is_response: a text of at
-    most WORDS words with an address in it, none of whose terms the rest of the text has, that the corpus holds (but for the
-    address and numbers) for at least SLUGS addresses, at least twice at one host. Null, empty and blank texts have no evidence.
-    A table without the host column counts as one host.
+    is_notice: the text is or has in it a notice (has_notice). is_response: the corpus shows that it's an answer in place of content
+    (answers). Null, empty and blank texts have no evidence. A table without the host column counts as one host, where no line is
+    an answer.
     """
-    where = F.col(host) if host in docs.columns else F.lit("")
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("k"), t.alias("t"), where.alias("h"))
-    slug = F.regexp_extract("t", r"/[\p{L}\p{N}_.\-]+/[\p{L}\p{N}_.\-/]*[\p{L}\p{N}]", 0)
-    terms = F.filter(F.split(F.lower(slug), r"[^\p{L}]+"), lambda w: F.length(w) > 3)
-    body = F.split(F.lower(F.regexp_replace(F.col("t"), r"/[\p{L}\p{N}_.\-]+/[\p{L}\p{N}_.\-/]*", " ")), r"[^\p{L}]+")
-    short = rows.where(F.length("t") <= 40 * WORDS).where(slug != "").where(F.size(body) <= WORDS).where(~F.arrays_overlap(terms, body))
-    seen = short.select(F.xxhash64(_skeleton(F.col("t"))).alias("s"), "h", slug.alias("slug"))
-    by_host = seen.groupBy("s", "h").agg(F.count_distinct("slug").alias("n"))
-    answers = by_host.groupBy("s").agg(F.sum("n").alias("n"), F.max("n").alias("m")).where((F.col("n") >= SLUGS) & (F.col("m") >= 2)).select("s", F.lit(True).alias("is_response"))
-    is_notice = has_notice(F.col("t"))
-    found = rows.select(
-        "k", has_placeholder(F.col("t")).alias("has_placeholder"), has_filler(F.col("t")).alias("has_filler"), is_notice.alias("is_notice"),
-        F.when((F.length("t") <= 40 * WORDS) & (slug != ""), F.xxhash64(_skeleton(F.col("t")))).alias("s"),
-    )
-    return found.join(answers, "s", "left").select(F.col("k").alias(key), "has_placeholder", "has_filler", "is_notice", F.coalesce("is_response", F.lit(False)).alias("is_response"))
+    rows = docs.select(F.col(key).alias("k"), t.alias("t"))
+    found = rows.select("k", has_placeholder(F.col("t")).alias("has_placeholder"), has_filler(F.col("t")).alias("has_filler"), has_notice(F.col("t")).alias("is_notice"))
+    known = answers(docs, key, text, host).select(F.col(key).alias("k"), F.lit(True).alias("is_response"))
+    return found.join(known, "k", "left").select(F.col("k").alias(key), "has_placeholder", "has_filler", "is_notice", F.coalesce("is_response", F.lit(False)).alias("is_response"))
 
 
 def residue(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
