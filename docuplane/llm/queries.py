@@ -23,6 +23,11 @@ def p6_found(spark, d):
     return pieces.oversized_pieces(table(spark, d, "index_docs"), table(spark, d, "index_embeddings"))
 
 
+def p6_landmarks(spark, d):
+    """The contents of p6_found in content-defined pieces."""
+    return pieces.content_defined_pieces(table(spark, d, "index_docs"), table(spark, d, "index_embeddings"))
+
+
 def p7_found(spark, d):
     return mails.newly_written(table(spark, d, "mail_docs"))
 
@@ -39,7 +44,7 @@ def p10_found(spark, d):
     return residue.residue(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_landmarks": p6_landmarks, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {
     "p3_found": r"""WITH t AS (SELECT DISTINCT doc_id, lower(list_extract(string_split(replace(coalesce(display_path, ''), '\', '/'), '/'), -1) || ' ' || coalesce(content, '')) AS s FROM index_docs),
  w AS (SELECT doc_id, regexp_extract_all(s, '[a-z0-9]+') AS w FROM t),

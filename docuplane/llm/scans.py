@@ -9,6 +9,8 @@ words fit, how often the word before is followed by each.
 from __future__ import annotations
 
 import re
+import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -24,13 +26,35 @@ CONFUSIONS = {
     ("9", "g"): 0.1, ("rn", "m"): 0.2, ("m", "rn"): 0.2, ("m", "in"): 0.2, ("in", "m"): 0.4, ("y", "v"): 0.2, ("v", "y"): 0.4, ("6", "b"): 0.1, ("6", "é"): 0.1, ("6", "o"): 0.3, ("h", "li"): 0.2, ("li", "h"): 0.4,
     ("vv", "w"): 0.1, ("w", "vv"): 0.4, ("ii", "ü"): 0.2, ("u", "ü"): 0.3, ("o", "ö"): 0.3, ("a", "ä"): 0.3, ("8", "b"): 0.2, ("$", "s"): 0.1, ("@", "a"): 0.1, ("|", "l"): 0.1, ("|", "i"): 0.2, ("b", "ß"): 0.2, ("ﬁ", "fi"): 0.1, ("ﬂ", "fl"): 0.1, ("nn", "rm"): 0.4, ("tii", "tü"): 0.2,
 }
+#: What a lost accent costs beside another misreading of the letter.
+ACCENT = 0.3
 #: A single misreading is accepted up to this cost, two in one word up to twice as much.
 MOST_COST = 0.45
+#: Letters from which on a word one plain edit away is thought of.
+LONG = 7
 #: How many times as frequent as what was read the right word must be.
 RATIO = 10
 #: The least share of a word in all words of its language for the lexicon (so it has at most a million words), and the least count.
 LEAST_SHARE, LEAST_COUNT = 1e-6, 5
 
+def _misreadings() -> dict[tuple[str, str], list[tuple[str, str, float]]]:
+    """CONFUSIONS and what two of them make of one letter (6 for o for ö), also where the second is a lost accent (6 for o for ó), by
+    their last letters."""
+    every = dict(CONFUSIONS)
+    for (a, b), c in CONFUSIONS.items():
+        for (d, e), f in CONFUSIONS.items():
+            if b == d and a != e and len(b) == 1:
+                every[a, e] = min(every.get((a, e), 9.0), c + f)
+        for accent in "\u0300\u0301\u0302\u0308" if not a.isalpha() and b in "aeiou" else "":
+            every.setdefault((a, unicodedata.normalize("NFC", b + accent)), c + ACCENT)
+    out: dict[tuple[str, str], list] = defaultdict(list)
+    for (a, b), c in every.items():
+        out[a[-1], b[-1]].append((a, b, c))
+    return dict(out)
+
+
+_MISREAD = _misreadings()
+
 # Frequent small words by which the language of a page is told.
 MARKERS = {
     "en": "the of and was were with that has been by is under after before according our each no file holds",
@@ -169,38 +193,47 @@ class Repair:
         return {w, *(w[:i] + w[i + k :] for k in (1, 2) for i in range(len(w) - k + 1))}
 
     @staticmethod
-    def cost(read: str, right: str) -> float:
-        """The least cost of one misreading (or none) that turns right into read; 9 if there is none."""
-        if read == right:
-            return 0.0
-        p = 0
-        while p < min(len(read), len(right)) and read[p] == right[p]:
-            p += 1
-        s = 0
-        while s < min(len(read), len(right)) - p and read[-1 - s] == right[-1 - s]:
-            s += 1
-        best = 9.0
-        for a in range(max(0, p - 2), p + 1):
-            for z in range(max(0, s - 2), s + 1):
-                best = min(best, CONFUSIONS.get((read[a : len(read) - z], right[a : len(right) - z]), 9.0))
-        return best
+    def cost(read: str, right: str, most: float = 9.0) -> float:
+        """The weighted edit distance between what was read and a right word: the least sum of misreadings, at their costs, and of plain
+        edits, 1 for each letter added, dropped, changed or swapped with its neighbour; 9 if it's more than `most`."""
+        n, m = len(read), len(right)
+        rows = [[float(j) for j in range(m + 1)]]
+        for i in range(1, n + 1):
+            above, row = rows[-1], [float(i)]
+            for j in range(1, m + 1):
+                x, y = read[i - 1], right[j - 1]
+                best = above[j - 1] if x == y else min(above[j - 1], above[j], row[j - 1]) + 1
+                if x != y and i > 1 and j > 1 and x == right[j - 2] and y == read[i - 2]:
+                    best = min(best, rows[i - 2][j - 2] + 1)
+                for a, b, c in _MISREAD.get((x, y), ()):
+                    if len(a) <= i and len(b) <= j and read.endswith(a, 0, i) and right.endswith(b, 0, j):
+                        best = min(best, rows[i - len(a)][j - len(b)] + c)
+                row.append(best)
+            if i > 1 and min(row) > most and min(above) > most:
+                return 9.0
+            rows.append(row)
+        return rows[n][m] if rows[n][m] <= most else 9.0
 
     def candidates(self, read: str) -> list[tuple[float, str]]:
-        """Lexicon words that are frequent enough to be what was read, with their costs; the cheapest first."""
+        """Lexicon words that are frequent enough to be what was read, with their costs, the cheapest first: up to MOST_COST; for longer
+        words that nobody writes up to twice as much, or, if there is none, one plain edit away."""
         if read in self.known:
             return self.known[read]
         n = self.counts.get(read, 0)
-        near = {w for k in self._deletes(read) for w in self.index.get(k, ())} - {read}
-        found = [(c, w) for w in near if self.counts[w] >= RATIO * max(n, 1) and (c := self.cost(read, w)) <= MOST_COST]
+        near = {w for k in self._deletes(read) for w in self.index.get(k, ()) if self.counts[w] >= RATIO * max(n, 1)} - {read}
+        costs = [(c, w) for w in near if (c := self.cost(read, w, 1.0)) <= 1.0]
+        found = [x for x in costs if x[0] <= MOST_COST]
         if not found and not n and len(read) > 5:
+            twice = [x for x in costs if x[0] <= 2 * MOST_COST]
             for (a, b), c in CONFUSIONS.items():
                 i = read.find(a)
-                while i >= 0 and c <= 0.2:
+                while i >= 0 and c <= MOST_COST:
                     once = read[:i] + b + read[i + len(a) :]
-                    for w in {w for k in self._deletes(once) for w in self.index.get(k, ())}:
-                        if self.counts[w] >= RATIO and (c2 := self.cost(once, w)) <= 0.2:
-                            found.append((c + c2 + 0.5, w))
+                    for w in {w for k in self._deletes(once) for w in self.index.get(k, ()) if self.counts[w] >= RATIO}:
+                        if (c2 := self.cost(read, w, 2 * MOST_COST)) <= 2 * MOST_COST:
+                            twice.append((c2, w))
                     i = read.find(a, i + 1)
+            found = twice or (costs if len(read) >= LONG else [])
         found = sorted(set(found), key=lambda x: (x[0], -self.counts[x[1]], x[1]))
         if len(self.known) > 200_000:
             self.known.clear()
@@ -211,7 +244,9 @@ class Repair:
         """The right word for what was read (lower case), None if nothing needs repair or nothing fits."""
         found = self.candidates(read)
         if found:
-            level = [x for x in found if x[0] < 0.5] or found
+            level = [x for x in found if x[0] <= MOST_COST] or found
+            if level[0][0] > 2 * MOST_COST and not any((before, w) in self.bigrams for _, w in level):
+                return None  # a plain edit away: only what is known to follow the word before
             return max(level, key=lambda x: (self.bigrams.get((before, x[1]), 0), -x[0], self.counts[x[1]]))[1]
         if not self.counts.get(read) and re.fullmatch(r"[^\W\d_]*[0-9(!+$@|][^\W\d_]+|[^\W\d_]+[0-9(!+$@|][^\W\d_]*", read) and len(read) > 3:
             return "".join(_SYMBOLS.get(c, c) for c in read)
@@ -351,6 +386,9 @@ def _ambiguous(counts: dict[str, int]) -> set[str]:
     return {w for ws in forms.values() if len(ws) > 1 for w in ws}
 
 
+_TOOLS: dict[str, dict[str, Repair]] = {}
+
+
 def repairs(pages: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
     """page_key, line_no (from 1), repair_kind, fixed_word of all repairs of the pages.
 
@@ -385,8 +423,13 @@ def repairs(pages: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
         bigrams[r["lang"]][r["a"], r["b"]] = r["n"]
     shared = spark.sparkContext.broadcast({g: (c, bigrams.get(g, {})) for g, c in counts.items()})
 
+    run = uuid.uuid4().hex
+
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tools = {g: Repair(*x) for g, x in shared.value.items()}
+        if run not in _TOOLS:  # one index for all tasks of a worker
+            _TOOLS.clear()
+            _TOOLS[run] = {g: Repair(*x) for g, x in shared.value.items()}
+        tools = _TOOLS[run]
         for b in batches:
             out = set()
             for k, t, g, s, h, o in zip(b["page_key"], b["content"], b["lang"], b["skip"], b["head"], b["goes_on"]):

@@ -75,3 +75,19 @@ def test_furniture_lines():
     page = "Org | Title\n\nSome text that goes on here and there.\nMore of it until the end of the\n. ,  '\nPage 7 of 9"
     assert S.furniture(page, 7, {S.skeleton("Org | T1tle")}, 3) == {0, 4, 5}
     assert S.skeleton("Confidential railwoy appendlx 12") == S.skeleton("Confidential railway appendix 3")
+
+
+def test_weighted_distance():
+    cost = S.Repair.cost
+    assert cost("harbour", "harbour") == 0 and cost("xyz", "xq") == 2 and cost("qz", "zq") == 1 and cost("", "ab") == 2
+    assert cost("f6rderband", "förderband") == S.CONFUSIONS["6", "o"] + S.CONFUSIONS["o", "ö"] and abs(cost("decisi6n", "decisión") - S.CONFUSIONS["6", "o"] - S.ACCENT) < 1e-9
+    assert abs(cost("kloseq", "klosed") - 1) < 1e-9 and abs(cost("clone", "done") - S.CONFUSIONS["cl", "d"]) < 1e-9 and cost("abcdefgh", "zyxwvuts", 1.0) == 9
+    both = S.CONFUSIONS["rn", "m"] + S.CONFUSIONS["0", "o"]
+    assert abs(cost("harrn0ny", "harmony") - both) < 1e-9
+
+
+def test_misreadings_outside_the_table():
+    tool = S.Repair({"harbour": 50, "the": 100, "breakwater": 40, "ledger": 30}, {("the", "harbour"): 20, ("the", "breakwater"): 9})
+    held_out = {"harboxr": "harbour", "hxrbour": "harbour", "harbuor": "harbour", "breakwqter": "breakwater", "brekwater": "breakwater", "breakwwater": "breakwater"}
+    assert {w: tool.word(w, "the") for w in held_out} == held_out
+    assert tool.word("harboxr", "ledger") is None and tool.word("ledxer", "the") is None and tool.word("hxrbxur", "the") is None
