@@ -1,10 +1,11 @@
 """Near-duplicate texts by runs of words: all pairs above a Jaccard similarity, exactly.
 
 Runs of words are hashed into sets; equal sets are one class, so copies cost nothing. The similarity is a bound on the Hamming
-distance of the sets, tau = (1 - t) / (1 + t) * (|x| + |y|). A pair within it shares several of the rarest runs of both (the
-universe is ordered by frequency; so it's enough to look for partners through the first runs of each set). Pigeonring filtering then prunes
-the candidates: the universe is cut into segments on a ring, and a pair can only be within tau if from some segment on every chain
-of consecutive segments differs by no more than its share of tau. What is left is compared in full.
+distance of the sets, tau = (1 - t) / (1 + t) * (|x| + |y|). A pair within it shares one of the rarest runs of both (the universe is
+ordered by frequency; so it's enough to look for partners through the first runs of each set). Pigeonring filtering then prunes the
+candidates: the universe is cut into segments on a ring, and a pair can only be within tau if from some segment on every chain of
+consecutive segments differs by no more than its share of tau. The segments are sketches whose width grows with the set, so they
+tell the differences of long texts as well. What is left is compared in full.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docuplane.session import Scratch
 
 SEGMENTS = 8
+#: Bits of a set's sketch for each of its runs, and the widest and narrowest sketch, in words of 64 bits a segment.
+SKETCH_BITS, NARROWEST, WIDEST = 8, 1, 256
 #: Frequencies are counted in this many buckets; one byte each is broadcast.
 BUCKETS = 1 << 25
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -46,8 +49,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 _INSIDE = np.zeros(256, bool)
 _INSIDE[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
-#: Runs among the rarest that a pair must share to be compared.
-SHARED = 3
+#: Tables that are merged at once.
+FAN = 32
 #: Bytes hashed at once.
 _BLOCK = 1 << 22
 
@@ -115,19 +118,35 @@ def _classes(begin: np.ndarray, sets: np.ndarray) -> np.ndarray:
         return _mix(a * _K + b + size.astype(np.uint64)).view(np.int64)
 
 
-def _segments(begin: np.ndarray, sets: np.ndarray) -> np.ndarray:
-    """For each set SEGMENTS words of 64 bits; each run flips one bit, so bits that differ are a lower bound of the difference."""
-    n = len(begin) - 1
-    row = np.repeat(np.arange(n), np.diff(begin))
-    out = np.zeros((n, SEGMENTS), np.uint64)
-    x = _mix(sets + _K)
-    np.bitwise_xor.at(out, (row, (x % np.uint64(SEGMENTS)).astype(np.int64)), np.uint64(1) << ((x >> np.uint64(8)) & np.uint64(63)))
+def sketch(runs: np.ndarray) -> np.ndarray:
+    """SEGMENTS segments of a power of two of words each, by the size of the set; each run flips one bit, so bits that differ are a lower
+    bound of the difference. Halves of a segment laid over each other are the sketch of half the width."""
+    words = NARROWEST
+    while words < WIDEST and words * 64 * SEGMENTS < SKETCH_BITS * len(runs):
+        words *= 2
+    x = _mix(runs + _K)
+    segment, bit = (x % np.uint64(SEGMENTS)).astype(np.int64), (x >> np.uint64(8)) % np.uint64(64 * words)
+    out = np.zeros(SEGMENTS * words, np.uint64)
+    np.bitwise_xor.at(out, segment * words + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
     return out.view(np.int64)
 
 
+def _folded(a: Column, words: Column) -> Column:
+    """A sketch laid over itself until its segments have `words` words."""
+    own = F.floor(F.size(a) / SEGMENTS).cast("int")
+
+    def word(i: Column) -> Column:
+        begin = F.floor(i / words).cast("int") * own
+        return F.aggregate(F.sequence(i % words, own - 1, words), F.lit(0).cast("bigint"), lambda acc, j: acc.bitwiseXOR(F.get(a, begin + j)))
+
+    return F.when(own == words, a).otherwise(F.transform(F.sequence(F.lit(0), words * SEGMENTS - 1), word))
+
+
 def within_ring(a: Column, b: Column, tau: Column) -> Column:
-    """Whether from some segment on every chain of segments differs by no more than its share of tau."""
-    d = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    """Whether from some segment on every chain of segments differs by no more than its share of tau; a and b are sketches."""
+    words = F.floor(F.least(F.size(a), F.size(b)) / SEGMENTS).cast("int")
+    bits = F.zip_with(_folded(a, words), _folded(b, words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    d = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: F.aggregate(F.slice(bits, i * words + 1, words), F.lit(0), lambda acc, x: acc + x))
     ring = F.concat(d, d)
 
     def chain(i: Column) -> Column:
@@ -139,28 +158,35 @@ def within_ring(a: Column, b: Column, tau: Column) -> Column:
 
 
 def _gathered(texts: DataFrame, batches_of, bits: int, merge) -> np.ndarray:
-    """A table of 2 ** bits bytes over all texts: each task's table goes out packed, in ranges, which are merged in two steps."""
+    """A table of 2 ** bits bytes over all texts: each task's table goes out packed, in ranges, of which FAN at a time are merged into one
+    until one is left. So no task holds more than FAN packed ranges of one place; the whole table, whose size is fixed, comes to the
+    driver."""
     span = 1 << 16
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = batches_of(batches)
-        where = TaskContext.get().partitionId() % 32
+        where = TaskContext.get().partitionId()
         for r in range(len(total) // span):
             part = total[r * span : (r + 1) * span]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([where], pa.int32()), pa.array([zstandard.compress(part.tobytes(), 1)], pa.binary())], ["r", "w", "data"])
 
-    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(span, np.uint8)
-        for d in rows["data"]:
-            total = merge(total, np.frombuffer(zstandard.decompress(d), np.uint8))
-        return pd.DataFrame({"r": [key[0]], "data": [zstandard.compress(total.tobytes(), 1)]})
+    def joined(packed: bool):
+        def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(span, np.uint8)
+            for d in rows["data"]:
+                total = merge(total, np.frombuffer(zstandard.decompress(d), np.uint8))
+            return pd.DataFrame({"r": [key[0]], "w": [key[1]], "data": [zstandard.compress(total.tobytes(), 1) if packed else total.tobytes()]})
+
+        return join
 
-    packed = texts.mapInArrow(pack, "r int, w int, data binary")
-    once = packed.groupBy("r", "w").applyInPandas(join, "r int, data binary")
+    tables, left = texts.mapInArrow(pack, "r int, w int, data binary"), max(1, texts.rdd.getNumPartitions())
+    while left > FAN:
+        tables = tables.groupBy("r", F.floor(F.col("w") / FAN).cast("int").alias("w")).applyInPandas(joined(True), "r int, w int, data binary")
+        left = -(-left // FAN)
     out = np.zeros(1 << bits, np.uint8)
-    for row in once.groupBy("r").applyInPandas(join, "r int, data binary").collect():
-        out[row["r"] * span : (row["r"] + 1) * span] = np.frombuffer(zstandard.decompress(row["data"]), np.uint8)
+    for row in tables.groupBy("r", F.lit(0).alias("w")).applyInPandas(joined(False), "r int, w int, data binary").toLocalIterator():
+        out[row["r"] * span : (row["r"] + 1) * span] = np.frombuffer(row["data"], np.uint8)
     return out
 
 
@@ -222,18 +248,19 @@ def class_pairs(texts: DataFrame, run: int = 3, similarity: Fraction = Fraction(
             k = code[(sets & mask).astype(np.int64)]
             o = np.lexsort((sets, k, row))
             place = np.arange(len(sets)) - begin[row]
-            prefix = size - -(-size * num // den) + SHARED
+            prefix = size - -(-size * num // den) + 1
             take = (place < prefix[row]) & (k[o] > 1) & fresh[row]
             row, at = row[take], place[take]
             yield pa.RecordBatch.from_arrays([pa.array(sets[o][take].view(np.int64)), pa.array(ids[row]), pa.array(size[row], pa.int32()), pa.array(at, pa.int32())], ["run", "class", "n", "place"])
 
-    posts = texts.mapInArrow(post, "run bigint, class bigint, n int, place int").repartition("run").dropDuplicates(["run", "class"])
+    # written before the join, whose shuffle by run can then be split where a run is hot
+    posts = scratch.cut(texts.mapInArrow(post, "run bigint, class bigint, n int, place int").dropDuplicates(["run", "class"]))
     x, y = posts.alias("x"), posts.alias("y")
     both = F.col("x.n") + F.col("y.n")
-    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + (SHARED - 1)
+    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     fits = (F.col("x.class") < F.col("y.class")) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (left * (num + den) >= both * num)
     met = x.join(y, (F.col("x.run") == F.col("y.run")) & fits).select(F.col("x.class").alias("class_a"), F.col("y.class").alias("class_b"), F.col("x.n").alias("size_a"), F.col("y.n").alias("size_b"))
-    pairs = scratch.cut(met.groupBy("class_a", "class_b", "size_a", "size_b").count().where(F.col("count") >= SHARED).drop("count"))
+    pairs = scratch.cut(met.distinct())
 
     def wanted_bits(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(BUCKETS >> 3, np.uint8)
@@ -248,14 +275,14 @@ def class_pairs(texts: DataFrame, run: int = 3, similarity: Fraction = Fraction(
         bits, seen = wanted.value, set()
         for b in batches:
             rows, begin, sets = shingle_sets(b.column(1).to_pylist(), run, least)
-            ids, seg = _classes(begin, sets), _segments(begin, sets)
+            ids = _classes(begin, sets)
             c = ids.view(np.uint64) & mask
             need = bits[(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8) & 1
             new = [bool(w) and k not in seen and not seen.add(k) for w, k in zip(need.tolist(), ids.tolist())]
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([
                 b.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, pa.int64()),
-                pa.array([s if n else None for s, n in zip(seg, new)], kind),
+                pa.array([sketch(sets[begin[i] : begin[i + 1]]) if n else None for i, n in enumerate(new)], kind),
                 pa.array([sets[begin[i] : begin[i + 1]].view(np.int64) if n else None for i, n in enumerate(new)], kind),
             ], ["key", "class_id", "seg", "runs"])
 

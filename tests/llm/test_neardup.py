@@ -7,6 +7,8 @@ from itertools import combinations
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from docuplane.llm import neardup as N
 
 
@@ -71,3 +73,23 @@ def test_codes():
 def test_file_text(spark):
     df = spark.createDataFrame([("1", "a\\b/C.txt", None), ("2", None, "x"), (None, "q", "y")], "doc_id string, display_path string, content string")
     assert [tuple(r) for r in N.file_text(df).collect()] == [("1", "C.txt "), ("2", " x")]
+
+
+def test_the_ring_prunes_false_candidates_only(spark):
+    """Pairs of all sizes and distances: none within the bound is lost, and nearly all that are clearly beyond it are pruned."""
+    rng = np.random.default_rng(3)
+    rows, truth = [], []
+    for n in (20, 60, 150, 900, 5000):
+        for part in np.linspace(0.3, 1, 40):
+            m = int(n * rng.uniform(0.7, 1.4))
+            both = rng.integers(0, 1 << 63, size=n + m, dtype=np.uint64)
+            k = int(min(n, m) * part)
+            x, y = both[:n], np.concatenate([both[:k], both[n : n + m - k]])
+            tau, d = (n + m) // 4, n + m - 2 * k
+            rows.append((len(rows), N.sketch(x).tolist(), N.sketch(y).tolist(), tau))
+            truth.append((d <= tau, d > 1.15 * tau))
+    df = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>, tau int")
+    kept = {r.i for r in df.where(N.within_ring(F.col("a"), F.col("b"), F.col("tau"))).collect()}
+    assert all(i in kept for i, (near, _) in enumerate(truth) if near)
+    far = [i for i, (_, f) in enumerate(truth) if f]
+    assert len(far) > 50 and sum(i not in kept for i in far) > 0.9 * len(far)
