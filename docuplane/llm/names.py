@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from docuplane.llm.components import components
-from docuplane.session import Scratch
+from docuplane.session import Scratch, spread
 
 # Given names and their short forms.
 NICKNAMES = {
@@ -33,6 +33,16 @@ NICKNAMES = {
     "yvonne": "yvi von evi yvie vonnie", "zachary": "zach zack zak zac",
 }
 
+# Short forms that no rule gives (short_form knows Ben, Sammy, Vicky and the like).
+IRREGULAR = {
+    "albert": "al bertie", "andrew": "drew", "ann": "nancy nan nanny", "anna": "nan annie", "barbara": "babs bobbie", "charles": "chuck charlie carlos", "concepcion": "concha", "cornelius": "neil con", "dolores": "lola",
+    "eduardo": "lalo", "eleanor": "nell nora nellie", "emily": "millie", "enrique": "quique", "frances": "fanny", "gilbert": "bert", "giovanni": "gianni vanni nanni", "guillermo": "memo", "gustav": "gus", "harold": "hal harry",
+    "heinrich": "heinz heiner", "helen": "nell nellie", "henry": "harry hank hal", "herbert": "bert", "ignacio": "nacho", "isabel": "tibby", "jacob": "jack jake", "james": "jim jimmy jamie", "jane": "jenny", "janet": "jenny jessie",
+    "jesus": "chuy", "johann": "hans", "john": "jack johnny", "josef": "sepp jupp", "joseph": "joe jos", "lawrence": "larry lorry", "louise": "lulu", "ludwig": "lutz", "luigi": "gigi", "martha": "patty mattie", "mary": "molly polly mamie",
+    "mildred": "millie", "oliver": "noll", "rosario": "charo", "rudolf": "rolf", "salvatore": "toto", "sarah": "sally sadie", "sophia": "fifi", "theodore": "ted teddy", "thomas": "tam", "ursula": "uschi", "virginia": "ginny ginger",
+    "walter": "wat", "winifred": "freda", "zenobia": "nobie",
+}
+
 # Words that name a kind of organisation, with common short forms.
 ORG_WORDS = {
     "authority": "auth", "association": "assoc assn", "bank": "bk", "board": "bd", "bureau": "", "college": "coll", "commission": "comm", "committee": "cttee", "company": "co", "corporation": "corp",
@@ -62,6 +72,10 @@ _GIVEN: dict[str, frozenset] = {}
 for _full, _short in NICKNAMES.items():
     for _n in [_full, *_short.split()]:
         _GIVEN[fold(_n)] = _GIVEN.get(fold(_n), frozenset()) | {fold(_full)}
+_KNOWN = frozenset(fold(n) for n in NICKNAMES)
+for _full, _short in IRREGULAR.items():
+    for _n in [_full, *_short.split()]:
+        _GIVEN[fold(_n)] = _GIVEN.get(fold(_n), frozenset()) | {fold(_full)}
 _FULL = [fold(n) for n in NICKNAMES]
 _ORG = {fold(n): fold(full) for full, short in ORG_WORDS.items() for n in [full, *short.split()]}
 _ORG_FULL = [fold(n) for n in ORG_WORDS]
@@ -228,6 +242,20 @@ def _as_given(first: str) -> dict:
     return {"given": sorted(names), "initial": fold(first)[0], "weak": len(names) > 1}
 
 
+@lru_cache(100_000)
+def short_form(x: str, y: str) -> bool:
+    """Whether x is a short form of the given name y by rule: what is left of x without a fond ending, at least three letters of it (a doubled
+    one may be single), begins y. For names that NICKNAMES tells about, only the table counts."""
+    if len(x) >= len(y) or x in _KNOWN or y in _KNOWN:
+        return False
+    if len(x) >= 3 and y.startswith(x):
+        return True
+    stem = re.sub(r"(?:chen|ito|ita|ie|ey|y|i|o)$", "", x)
+    once = stem[:-1] if len(stem) > 2 and stem[-1] == stem[-2] else stem
+    y = y.replace("ph", "f")
+    return stem != x and len(stem) >= 3 and (y.startswith(stem) or y.startswith(once) or (stem.endswith("ck") and y.startswith(stem[:-1])))
+
+
 def _alike(x: str, y: str) -> bool:
     return (slips(x, y) <= 1 and jaro_winkler(x, y) >= 0.85) or fold(x) == fold(y)
 
@@ -249,12 +277,18 @@ def same_name(a, b) -> bool:
         return not a["org"] or not b["org"] or a["org"] == b["org"]
     ga, gb = set(a["given"]), set(b["given"])
     if ga and gb:
-        return bool(ga & gb) or (a["name"] == b["name"] and any(slips(x, y) <= 1 or jaro_winkler(x, y) >= 0.93 for x in ga for y in gb))
+        return bool(ga & gb) or (a["name"] == b["name"] and any(slips(x, y) <= 1 or jaro_winkler(x, y) >= 0.93 for x in ga for y in gb)) or shorter(a, b) != 0
     if not a["initial"] or not b["initial"]:
         return True
     return any(x[0] == b["initial"] for x in ga) if ga else any(y[0] == a["initial"] for y in gb) if gb else a["initial"] == b["initial"]
 
 
+def shorter(a, b) -> int:
+    """-1 if a's given name may be a short form of b's by rule, 1 if b's of a's, else 0."""
+    pairs = [(x, y) for x in a["given"] for y in b["given"]]
+    return -1 if any(short_form(x, y) for x, y in pairs) else int(any(short_form(y, x) for x, y in pairs))
+
+
 _READ = T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("given", T.ArrayType(T.StringType())), T.StructField("initial", T.StringType()), T.StructField("org", T.StringType()), T.StructField("weak", T.BooleanType()), T.StructField("other", T.StringType()), T.StructField("keys", T.ArrayType(T.StringType()))])
 
 
@@ -270,25 +304,40 @@ def _read(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[f.name for f in _READ])
 
 
-@F.pandas_udf(T.BooleanType())
-def _same(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-    return pd.Series([same_name(x, y) for x, y in zip(a.to_dict("records"), b.to_dict("records"))], dtype=bool)
+_SAME = T.StructType([T.StructField("same", T.BooleanType()), T.StructField("shorter", T.IntegerType())])
+
+
+@F.pandas_udf(_SAME)
+def _same(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    names = list(a.columns)
+    same, short = [], []
+    for x, y in zip(zip(*(a[c] for c in names)), zip(*(b[c] for c in names))):
+        x, y = dict(zip(names, x)), dict(zip(names, y))
+        same.append(same_name(x, y))
+        short.append(shorter(x, y) if same[-1] and x["kind"] == "person" and not set(x["given"]) & set(y["given"]) else 0)
+    return pd.DataFrame({"same": pd.Series(same, dtype=bool), "shorter": pd.Series(short, dtype="int32")})
 
 
 def name_links(values: DataFrame, key: str = "value_id", scope: str = "index_name", name: str = "creator") -> DataFrame:
-    """a < b: accepted pairs of keys within a scope, before clustering. Null names and scopes have no pairs."""
-    read = values.where(F.col(name).isNotNull() & F.col(scope).isNotNull()).select(F.col(key).alias("id"), F.col(scope).alias("s"), _read(F.col(name)).alias("r"))
-    blocks = read.select("s", "id", F.explode("r.keys").alias("k"), F.col("r").dropFields("keys").alias("r"))
-    ids = blocks.select("s", "k", "id")
-    pairs = ids.alias("x").join(ids.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    """a < b: accepted pairs of keys within a scope, before clustering. Null names and scopes have no pairs. Each spelling is read once,
+    into a written table; all joins are by shuffle, since sizes of read names aren't known beforehand."""
+    scratch = Scratch(values.sparkSession, "names")
+    rows = values.where(F.col(name).isNotNull() & F.col(scope).isNotNull()).select(F.col(key).alias("id"), F.col(scope).alias("s"), F.col(name).alias("n"))
+    read = scratch.cut(spread(rows, "id").select("id", "s", _read(F.col("n")).alias("r"))).where("r.kind <> ''")
+    ids = read.select("s", "id", F.explode("r.keys").alias("k"))
+    pairs = ids.alias("x").join(ids.alias("y").hint("merge"), (F.col("x.s") == F.col("y.s")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     facts = read.select("id", F.col("r").dropFields("keys").alias("r"))
-    both = pairs.join(facts.toDF("a", "ra"), "a").join(facts.toDF("b", "rb"), "b")
-    links = both.where(_same("ra", "rb")).select("a", "b", F.col("ra.given").alias("ga"), F.col("rb.given").alias("gb"), F.col("ra.weak").alias("wa"), F.col("rb.weak").alias("wb"), F.col("ra.kind").alias("kind"))
-    links = Scratch(values.sparkSession, "names").cut(links)
+    both = pairs.join(facts.toDF("a", "ra").hint("merge"), "a").join(facts.toDF("b", "rb").hint("merge"), "b").withColumn("x", _same("ra", "rb")).where("x.same")
+    links = both.select("a", "b", F.col("ra.given").alias("ga"), F.col("rb.given").alias("gb"), F.col("ra.weak").alias("wa"), F.col("rb.weak").alias("wb"), "x.shorter", F.col("ra.kind").alias("kind"))
+    links = scratch.cut(links)
+    # who has a short form of somebody's name is as little sure as who has an initial
+    short = links.where("shorter <> 0").select(F.when(F.col("shorter") < 0, F.col("a")).otherwise(F.col("b")).alias("id")).distinct().withColumn("short", F.lit(True))
+    for side in "ab":
+        links = links.join(short.toDF(side, "short"), side, "left").withColumn(f"w{side}", F.col(f"w{side}") | F.coalesce("short", F.lit(False))).drop("short")
     sides = links.where("kind = 'person'").select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("wa").alias("w"), F.col("gb").alias("g"), F.col("wb").alias("v")), F.struct(F.col("b").alias("id"), F.col("wb").alias("w"), F.col("ga").alias("g"), F.col("wa").alias("v")))).alias("x")).select("x.*")
     doubtful = sides.where("w and not v and size(g) = 1").groupBy("id").agg(F.collect_set(F.col("g")[0]).alias("names"))
     differ = lambda x, y: (x != y) & ((F.levenshtein(x, y) > 2) | (F.least(F.length(x), F.length(y)) < 5))
-    doubtful = doubtful.where(F.exists("names", lambda x: F.exists("names", lambda y: differ(x, y)))).select("id")
+    doubtful = scratch.cut(doubtful.where(F.exists("names", lambda x: F.exists("names", lambda y: differ(x, y)))).select("id"))
     firm = links.join(doubtful.withColumnRenamed("id", "a"), "a", "left_anti").join(doubtful.withColumnRenamed("id", "b"), "b", "left_anti")
     return firm.select("a", "b")
 

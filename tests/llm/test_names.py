@@ -67,3 +67,29 @@ def test_names_in_another_order(spark):
     got = {(r.a, r.b) for r in N.name_links(df).collect()}
     assert {(0, 1), (1, 2), (0, 2), (0, 3), (2, 3), (9, 10), (6, 7)} <= got
     assert not {p for p in got if 4 in p or 5 in p or 11 in p} and (7, 8) not in got
+
+
+def test_people_whose_names_are_in_no_table(spark):
+    """Held-out recall: given names and families the tables don't know, in the usual ways of typing them."""
+    import random
+
+    rng = random.Random(6)
+    given = {"Benjamin": "Benny", "Samuel": "Sammy", "Daniel": "Dan", "Christopher": "Chris", "Maximilian": "Max", "Josephine": "Josie", "Timothy": "Tim", "Gregory": "Greg", "Victoria": "Vicky", "Deborah": "Debbie", "Nathaniel": "Nat", "Philip": "Phil", "Stephanie": "Steffi", "Joshua": "Josh", "Raymond": "Ray", "Russell": "Russ", "Kenneth": "Kenny", "Gerald": "Gerry", "Leopold": "Leo", "Bernadette": "Bernie"}
+    assert not {N.fold(n) for n in given} & set(N._GIVEN)
+    families = ["".join(rng.choice(["bra", "kel", "mon", "tor", "ves", "lin", "dag", "hus", "per", "wol"]) for _ in range(3)).title() for _ in range(60)]
+    rows, of = [], {}
+    for i, last in enumerate(dict.fromkeys(families)):
+        first, short = rng.choice(list(given.items()))
+        k = rng.randrange(1, len(last) - 1)
+        slip = last[:k] + last[k + 1 :]
+        for v in (f"{first} {last}", f"{last}, {first}", f"{first[0]}. {last}", f"{short} {last}", f"{first.upper()} {last.upper()}", f"{last}, {first[0]}.", f"{first} {slip}", f"Dr. {first} {last}", f"{first} Q. {last}", f"{first.lower()}.{last.lower()}"):
+            of[len(rows)] = i
+            rows.append((len(rows), "idx", v))
+    got = {tuple(r) for r in N.entity_pairs(spark.createDataFrame(rows, "value_id bigint, index_name string, creator string")).collect()}
+    truth = {(a, b) for a in of for b in of if a < b and of[a] == of[b]}
+    assert len(got & truth) / len(truth) > 0.9 and len(got & truth) / len(got) > 0.98
+
+
+def test_a_short_form_of_two_names_is_nobodys(spark):
+    rows = [(1, "i", "Christopher Amblin"), (2, "i", "Christina Amblin"), (3, "i", "Chris Amblin"), (4, "i", "Benjamin Corvel"), (5, "i", "Ben Corvel")]
+    assert {tuple(r) for r in N.entity_pairs(spark.createDataFrame(rows, "value_id bigint, index_name string, creator string")).collect()} == {(4, 5)}
