@@ -15,6 +15,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from docuplane.session import Scratch
+
 RUN, BLOCK = 10, 3
 _WORD, _DROP = re.compile("[a-z0-9]+"), regex.compile(r"[\p{M}\p{Cf}]+")
 
@@ -62,22 +64,50 @@ class Patterns:
         return found
 
 
-def leaked(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", run: int = RUN, items_at_once: int = 20_000) -> DataFrame:
+#: Words of an item that are searched for together; longer items are cut into parts that overlap by a run.
+PART_WORDS = 5_000
+
+
+def item_parts(items: DataFrame, item_key: str, run: int) -> DataFrame:
+    """i, part, n, t: the words of each item in parts of at most PART_WORDS and how many they are; items shorter than a run have none."""
+    kind = items.schema[item_key].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, parts, sizes, texts = [], [], [], []
+            for r, t in enumerate(batch.column(1).to_pylist()):
+                w = words(t)
+                for p, at in enumerate(range(0, max(len(w) - run + 1, 0), PART_WORDS - run + 1)):
+                    part = w[at : at + PART_WORDS]
+                    rows.append(r)
+                    parts.append(p)
+                    sizes.append(len(part))
+                    texts.append(" ".join(part))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(parts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(texts, pa.string())], ["i", "part", "n", "t"])
+
+    return items.select(F.col(item_key).alias("i"), F.col("text").alias("t")).where("t is not null").mapInArrow(cut, f"i {kind}, part int, n int, t string")
+
+
+def leaked(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", run: int = RUN, items_at_once: int = 20_000, words_at_once: int = 1_000_000) -> DataFrame:
     """doc_key, item_key: documents in which at least `run` consecutive words of an item's text stand consecutively.
 
-    docs and items have a column text; null and shorter texts never match. Items go to the executors in blocks of items_at_once
-    (a bound on what is broadcast; more items mean more passes over the documents, none is left out). One row per pair, also
-    where a document's key is repeated. An empty table on either side gives an empty result.
+    docs and items have a column text; null and shorter texts never match. Parts of items go to the executors in blocks of about
+    items_at_once parts and words_at_once words (a bound on what is broadcast and held by the driver, whatever the number and length of items; more of them mean more passes
+    over the documents, none is left out). One row per pair, also where a document's key is repeated. An empty table on either
+    side gives an empty result.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "leaks")
     texts = docs.select(F.col(doc_key).alias("k"), F.col("text").alias("t")).where("t is not null")
     key = items.schema[item_key].dataType.simpleString()
     schema = f"k {docs.schema[doc_key].dataType.simpleString()}, i {key}"
-    all_items = items.select(F.col(item_key).alias("i"), F.col("text").alias("t")).where("t is not null")
-    blocks = -(-all_items.count() // items_at_once)
+    arrow = pa.int64() if key == "bigint" else pa.int32() if key == "int" else pa.string()
+    parts = scratch.cut(item_parts(items, item_key, run))
+    size = parts.agg(F.count("*").alias("parts"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    blocks = max(-(-size["words"] // words_at_once), -(-size["parts"] // items_at_once))
     result = None
     for b in range(blocks):
-        part = all_items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()
+        part = parts.where(F.pmod(F.xxhash64("i", "part"), F.lit(blocks)) == b).select("i", "t").collect()
         shared = spark.sparkContext.broadcast(Patterns([(r.i, r.t) for r in part], run))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -89,10 +119,12 @@ def leaked(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
                         rows.append(n)
                         hits.append(item)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(hits, arrow[1])], ["k", "i"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(hits, arrow)], ["k", "i"])
 
-        arrow = [None, pa.from_numpy_dtype("int64") if key == "bigint" else pa.int32() if key == "int" else pa.string()]
         hit = texts.mapInArrow(scan, schema)
+        if blocks > 1:  # done before the next block is made
+            hit = scratch.cut(hit)
+            shared.destroy()
         result = hit if result is None else result.unionByName(hit)
     if result is None:
         result = spark.createDataFrame([], schema)

@@ -20,7 +20,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from docuplane.session import Scratch, shared_dir
+from docuplane.session import Scratch, remove_at_exit, shared_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEXICON_WORDS = 65_536
@@ -232,6 +232,7 @@ def share_lexicon(docs: DataFrame, text: str = "text", vocabulary: str = VOCABUL
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
     out.write(image)
     out.close()
+    remove_at_exit(spark, at)
     spark.sparkContext.addFile(at)
     return name
 

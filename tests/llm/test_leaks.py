@@ -39,3 +39,14 @@ def test_a_passage_in_disguise():
     p = L.Patterns([(1, item)])
     assert p.search("x " + item.upper().replace("E", "É").replace(" ", "  \n") + " y") == {1}
     assert p.search("x " * 500 + item.replace("nickel", "copper")) == set()
+
+
+def test_long_items_in_parts(spark):
+    random.seed(5)
+    long = " ".join(random.choice("abcdefghij") for _ in range(13_000))
+    w = long.split()
+    docs = [(k, "x y " + " ".join(w[at : at + 12]) + " z") for k, at in enumerate([0, 4_985, 4_991, 4_995, 9_985, 12_988])] + [(99, " ".join(w[7:16]))]
+    it = spark.createDataFrame([(1, long), (2, None)], "item_id bigint, text string")
+    for at_once in (1_000_000, 5_000):
+        got = {r.doc_id for r in L.leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), it, words_at_once=at_once).collect()}
+        assert got == {d for d, t in docs if (d, 1) in brute(docs, [(1, long)], 10)} >= {0, 1, 2, 3, 4, 5}
