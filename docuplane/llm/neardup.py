@@ -1,7 +1,7 @@
 """Near-duplicate texts by runs of words: all pairs above a Jaccard similarity, exactly.
 
 Runs of words are hashed into sets; equal sets are one class, so copies cost nothing. The similarity is a bound on the Hamming
-distance of the sets, tau = (1 - t) / (1 + t) * (|x| + |y|). A pair within it shares one of the rarest runs of both (the universe is
+distance of the sets, tau = (1 - t) / (1 + t) * (|x| + |y|). A pair within it shares some of the rarest runs of both (the universe is
 ordered by frequency; so it's enough to look for partners through the first runs of each set). Pigeonring filtering then prunes the
 candidates: the universe is cut into segments on a ring, and a pair can only be within tau if from some segment on every chain of
 consecutive segments differs by no more than its share of tau. The segments are sketches whose width grows with the set, so they
@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from docuplane.session import Scratch
 
@@ -49,6 +49,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 _INSIDE = np.zeros(256, bool)
 _INSIDE[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+#: Runs among the rarest that a pair must share to be compared.
+SHARED = 2
 #: Tables that are merged at once.
 FAN = 32
 #: Bytes hashed at once.
@@ -131,30 +133,34 @@ def sketch(runs: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _folded(a: Column, words: Column) -> Column:
-    """A sketch laid over itself until its segments have `words` words."""
-    own = F.floor(F.size(a) / SEGMENTS).cast("int")
-
-    def word(i: Column) -> Column:
-        begin = F.floor(i / words).cast("int") * own
-        return F.aggregate(F.sequence(i % words, own - 1, words), F.lit(0).cast("bigint"), lambda acc, j: acc.bitwiseXOR(F.get(a, begin + j)))
+def ring_holds(a: np.ndarray, b: np.ndarray, tau: np.ndarray) -> np.ndarray:
+    """For sketches of one width, row by row: whether from some segment on every chain of segments differs by no more than its share of
+    tau."""
+    d = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).reshape(len(a), SEGMENTS, -1).sum(2, dtype=np.int64)
+    alive = np.ones((len(a), SEGMENTS), bool)
+    sums = np.zeros((len(a), SEGMENTS), np.int64)
+    for length in range(1, SEGMENTS + 1):
+        sums += np.roll(d, 1 - length, axis=1)
+        alive &= sums * SEGMENTS <= length * tau[:, None]
+    return alive.any(1)
 
-    return F.when(own == words, a).otherwise(F.transform(F.sequence(F.lit(0), words * SEGMENTS - 1), word))
 
+def _folded(x: np.ndarray, words: int) -> np.ndarray:
+    """A sketch laid over itself until its segments have `words` words."""
+    return np.bitwise_xor.reduce(x.reshape(SEGMENTS, -1, words), axis=1).ravel()
 
-def within_ring(a: Column, b: Column, tau: Column) -> Column:
-    """Whether from some segment on every chain of segments differs by no more than its share of tau; a and b are sketches."""
-    words = F.floor(F.least(F.size(a), F.size(b)) / SEGMENTS).cast("int")
-    bits = F.zip_with(_folded(a, words), _folded(b, words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    d = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: F.aggregate(F.slice(bits, i * words + 1, words), F.lit(0), lambda acc, x: acc + x))
-    ring = F.concat(d, d)
-
-    def chain(i: Column) -> Column:
-        sums = F.aggregate(F.slice(ring, i + 1, SEGMENTS), F.struct(F.lit(0).alias("s"), F.lit(0).alias("l"), F.lit(True).alias("ok")),
-                           lambda acc, x: F.struct((acc.s + x).alias("s"), (acc.l + 1).alias("l"), (acc.ok & ((acc.s + x) * SEGMENTS <= (acc.l + 1) * tau)).alias("ok")))
-        return sums.ok
 
-    return F.exists(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), chain)
+@F.pandas_udf(T.BooleanType())
+def within_ring(a: pd.Series, b: pd.Series, tau: pd.Series) -> pd.Series:
+    """Whether from some segment on every chain of segments differs by no more than its share of tau; a and b are sketches, of which the
+    wider one is folded. All pairs of a batch with one width are looked at together."""
+    width = np.minimum(a.map(len), b.map(len)).to_numpy() // SEGMENTS
+    out, x, y, t = np.zeros(len(a), bool), a.to_numpy(), b.to_numpy(), tau.to_numpy()
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        left, right = (np.stack([_folded(z[i], int(w)) for i in at]) for z in (x, y))
+        out[at] = ring_holds(left, right, t[at])
+    return pd.Series(out)
 
 
 def _gathered(texts: DataFrame, batches_of, bits: int, merge) -> np.ndarray:
@@ -248,7 +254,7 @@ def class_pairs(texts: DataFrame, run: int = 3, similarity: Fraction = Fraction(
             k = code[(sets & mask).astype(np.int64)]
             o = np.lexsort((sets, k, row))
             place = np.arange(len(sets)) - begin[row]
-            prefix = size - -(-size * num // den) + 1
+            prefix = size - -(-size * num // den) + SHARED
             take = (place < prefix[row]) & (k[o] > 1) & fresh[row]
             row, at = row[take], place[take]
             yield pa.RecordBatch.from_arrays([pa.array(sets[o][take].view(np.int64)), pa.array(ids[row]), pa.array(size[row], pa.int32()), pa.array(at, pa.int32())], ["run", "class", "n", "place"])
@@ -257,10 +263,10 @@ def class_pairs(texts: DataFrame, run: int = 3, similarity: Fraction = Fraction(
     posts = scratch.cut(texts.mapInArrow(post, "run bigint, class bigint, n int, place int").dropDuplicates(["run", "class"]))
     x, y = posts.alias("x"), posts.alias("y")
     both = F.col("x.n") + F.col("y.n")
-    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + (SHARED - 1)
     fits = (F.col("x.class") < F.col("y.class")) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (left * (num + den) >= both * num)
     met = x.join(y, (F.col("x.run") == F.col("y.run")) & fits).select(F.col("x.class").alias("class_a"), F.col("y.class").alias("class_b"), F.col("x.n").alias("size_a"), F.col("y.n").alias("size_b"))
-    pairs = scratch.cut(met.distinct())
+    pairs = scratch.cut(met.groupBy("class_a", "class_b", "size_a", "size_b").count().where(F.col("count") >= SHARED).drop("count"))
 
     def wanted_bits(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(BUCKETS >> 3, np.uint8)

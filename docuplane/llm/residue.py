@@ -8,6 +8,8 @@ its real texts don't use.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docuplane.session import Scratch, bounded_broadcast
@@ -101,7 +103,7 @@ def has_placeholder(text: Column) -> Column:
     """Whether a sentence of the text has an unfilled placeholder and doesn't speak about placeholders."""
     marks = "(?:" + "|".join(PLACEHOLDERS) + ")"
     sentences = F.split(text, r"(?<=[.!?])\s+|\n")
-    return text.rlike(marks) & F.exists(sentences, lambda s: s.rlike(marks) & ~s.rlike(MENTIONS))
+    return text.rlike(r"[{<&@_%#«\[]") & text.rlike(marks) & F.exists(sentences, lambda s: s.rlike(marks) & ~s.rlike(MENTIONS))
 
 
 def has_filler(text: Column) -> Column:
@@ -112,7 +114,9 @@ def has_filler(text: Column) -> Column:
         n = F.size(F.regexp_extract_all(line, F.lit(r"[\p{L}]+"), F.lit(0)))
         return (n >= 5) & (F.regexp_count(line, F.lit(words)) * 3 >= n * 2)
 
-    return text.rlike(r"(?i)\b(?:lorem|ipsum|adipiscing|consectetur|eiusmod|incididunt|ullamco|nostrud|aliquip)\b") & F.exists(F.split(text, "\n"), bad)
+    lower = F.lower(text)
+    rare = reduce(Column.__or__, [lower.contains(w) for w in ("lorem", "ipsum", "adipiscing", "consectetur", "eiusmod", "incididunt", "ullamco", "nostrud", "aliquip")])
+    return rare & F.exists(F.split(text, "\n"), bad)
 
 
 def has_notice(text: Column) -> Column:
@@ -133,7 +137,9 @@ def has_notice(text: Column) -> Column:
         return F.struct(edge.alias("edge"), run.alias("run"), (s.found | ((s.run == 2) & ((x == "") | (~own & ~x.rlike(r"^\p{Ll}"))))).alias("found"))
 
     begin = F.struct(F.lit("end").alias("edge"), F.lit(0).alias("run"), F.lit(False).alias("found"))
-    return F.exists(lines, lambda x: x.rlike(notice)) & F.aggregate(lines, begin, after, lambda s: s.found | (s.run == 2))
+    # one look at the whole text rules most of them out
+    blank = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*"
+    return F.lower(text).rlike(f"(?m)^{blank}(?:" + "|".join(NOTICE_LINES) + f"){blank}$") & F.aggregate(lines, begin, after, lambda s: s.found | (s.run == 2))
 
 
 def answers(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
