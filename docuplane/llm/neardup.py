@@ -51,6 +51,9 @@ _INSIDE = np.zeros(256, bool)
 _INSIDE[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 #: Runs among the rarest that a pair must share to be compared.
 SHARED = 2
+#: A run that stands in so many texts, and so many times as often as others on average, is hot: each of its texts goes to one of SALTS tasks
+#: and meets all others there.
+HOT, HOT_TIMES, SALTS = 10_000, 50, 16
 #: Tables that are merged at once.
 FAN = 32
 #: Bytes hashed at once.
@@ -239,7 +242,9 @@ def class_pairs(texts: DataFrame, run: int = 3, similarity: Fraction = Fraction(
             total[at] = _code(_count(total[at]) + c)
         return total
 
-    frequency = spark.sparkContext.broadcast(_gathered(texts, count, BUCKETS.bit_length() - 1, _added))
+    table = _gathered(texts, count, BUCKETS.bit_length() - 1, _added)
+    hot = int(_code(np.array([HOT + HOT_TIMES * _count(table).mean()]))[0])
+    frequency = spark.sparkContext.broadcast(table)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, seen = frequency.value, set()
@@ -256,16 +261,22 @@ def class_pairs(texts: DataFrame, run: int = 3, similarity: Fraction = Fraction(
             place = np.arange(len(sets)) - begin[row]
             prefix = size - -(-size * num // den) + SHARED
             take = (place < prefix[row]) & (k[o] > 1) & fresh[row]
-            row, at = row[take], place[take]
-            yield pa.RecordBatch.from_arrays([pa.array(sets[o][take].view(np.int64)), pa.array(ids[row]), pa.array(size[row], pa.int32()), pa.array(at, pa.int32())], ["run", "class", "n", "place"])
-
-    # written before the join, whose shuffle by run can then be split where a run is hot
-    posts = scratch.cut(texts.mapInArrow(post, "run bigint, class bigint, n int, place int").dropDuplicates(["run", "class"]))
+            row, at, runs, k = row[take], place[take], sets[o][take].view(np.int64), k[o][take]
+            # side 0 meets all, side 1 (in one salt) meets side 2 (in every salt)
+            n = np.where(k > hot, SALTS + 1, 1)
+            i = np.repeat(np.arange(len(row)), n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            salted = n[i] > 1
+            side = np.where(salted, np.where(j == SALTS, 1, 2), 0)
+            salt = np.where(side == 2, j, np.where(salted, ids[row][i] % SALTS, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(runs[i]), pa.array(salt, pa.int8()), pa.array(side, pa.int8()), pa.array(ids[row][i]), pa.array(size[row][i], pa.int32()), pa.array(at[i], pa.int32())], ["run", "salt", "side", "class", "n", "place"])
+
+    posts = texts.mapInArrow(post, "run bigint, salt tinyint, side tinyint, class bigint, n int, place int").repartition("run", "salt").dropDuplicates(["run", "salt", "side", "class"])
     x, y = posts.alias("x"), posts.alias("y")
     both = F.col("x.n") + F.col("y.n")
     left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + (SHARED - 1)
     fits = (F.col("x.class") < F.col("y.class")) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (left * (num + den) >= both * num)
-    met = x.join(y, (F.col("x.run") == F.col("y.run")) & fits).select(F.col("x.class").alias("class_a"), F.col("y.class").alias("class_b"), F.col("x.n").alias("size_a"), F.col("y.n").alias("size_b"))
+    met = x.where("side < 2").join(y.where("side <> 1"), (F.col("x.run") == F.col("y.run")) & (F.col("x.salt") == F.col("y.salt")) & fits).select(F.col("x.class").alias("class_a"), F.col("y.class").alias("class_b"), F.col("x.n").alias("size_a"), F.col("y.n").alias("size_b"))
     pairs = scratch.cut(met.groupBy("class_a", "class_b", "size_a", "size_b").count().where(F.col("count") >= SHARED).drop("count"))
 
     def wanted_bits(batches: Iterator[pa.RecordBatch]) -> np.ndarray:

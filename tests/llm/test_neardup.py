@@ -93,3 +93,12 @@ def test_the_ring_prunes_false_candidates_only(spark):
     assert all(i in kept for i, (near, _) in enumerate(truth) if near)
     far = [i for i, (_, f) in enumerate(truth) if f]
     assert len(far) > 50 and sum(i not in kept for i in far) > 0.9 * len(far)
+
+
+def test_hot_runs_meet_in_salts(spark, monkeypatch):
+    rows = [(f"k{i:03d}", "one two three four five six seven eight " + " ".join(f"w{(i * 7 + j) % 40}" for j in range(6))) for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, text string")
+    plain = {tuple(r) for r in N.near_duplicate_pairs(df, 2, Fraction(3, 5), 4).collect()}
+    monkeypatch.setattr(N, "HOT", 3)
+    monkeypatch.setattr(N, "HOT_TIMES", 0)
+    assert {tuple(r) for r in N.near_duplicate_pairs(df, 2, Fraction(3, 5), 4).collect()} == plain == brute(rows, 2, Fraction(3, 5), 4) and plain
