@@ -194,7 +194,7 @@ def _gathered(texts: DataFrame, batches_of, bits: int, merge) -> np.ndarray:
         tables = tables.groupBy("r", F.floor(F.col("w") / FAN).cast("int").alias("w")).applyInPandas(joined(True), "r int, w int, data binary")
         left = -(-left // FAN)
     out = np.zeros(1 << bits, np.uint8)
-    for row in tables.groupBy("r", F.lit(0).alias("w")).applyInPandas(joined(False), "r int, w int, data binary").toLocalIterator():
+    for row in tables.groupBy("r", F.lit(0).alias("w")).applyInPandas(joined(False), "r int, w int, data binary").collect():
         out[row["r"] * span : (row["r"] + 1) * span] = np.frombuffer(row["data"], np.uint8)
     return out
 
@@ -276,7 +276,9 @@ def class_pairs(texts: DataFrame, run: int = 3, similarity: Fraction = Fraction(
     both = F.col("x.n") + F.col("y.n")
     left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + (SHARED - 1)
     fits = (F.col("x.class") < F.col("y.class")) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (left * (num + den) >= both * num)
-    met = x.where("side < 2").join(y.where("side <> 1"), (F.col("x.run") == F.col("y.run")) & (F.col("x.salt") == F.col("y.salt")) & fits).select(F.col("x.class").alias("class_a"), F.col("y.class").alias("class_b"), F.col("x.n").alias("size_a"), F.col("y.n").alias("size_b"))
+    # 0 meets 0, 1 meets 2: said so that neither a filter below the exchange nor a further join key keeps both sides from sharing it
+    sides = F.abs(F.col("y.side") - 2 * F.col("x.side")) < 1
+    met = x.join(y, (F.col("x.run") == F.col("y.run")) & (F.col("x.salt") == F.col("y.salt")) & sides & fits).select(F.col("x.class").alias("class_a"), F.col("y.class").alias("class_b"), F.col("x.n").alias("size_a"), F.col("y.n").alias("size_b"))
     pairs = scratch.cut(met.groupBy("class_a", "class_b", "size_a", "size_b").count().where(F.col("count") >= SHARED).drop("count"))
 
     def wanted_bits(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
