@@ -16,10 +16,13 @@ def live(docs: DataFrame, *columns: str, key: str = "doc_id", order: tuple[str,
     return last.select(key, *[F.col("x").getField(c).alias(c) for c in cols])
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
-    """old with whole rows replaced or added by new; of repeated keys in new any one row counts."""
-    new = new.dropDuplicates([key])
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ()) -> DataFrame:
+    """old with whole rows replaced or added by new. Of a key that new repeats, the row that is last by the columns `order` counts; without
+    an order the last by all columns, so that a repetition gives the same rows."""
+    cols = [c for c in new.columns if c != key]
+    rank = [F.col(c) for c in order] or [F.to_json(F.struct(*cols))]
+    last = new.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*rank)).alias("x")).select(key, *[F.col("x").getField(c).alias(c) for c in cols])
+    return old.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def curate(raw: DataFrame, index: str, base: str = "", max_chars: int = 100_000) -> DataFrame:

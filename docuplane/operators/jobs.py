@@ -53,9 +53,9 @@ def without_index(jobs: DataFrame, errors: DataFrame, index: str) -> tuple[DataF
     return jobs.where(F.col("index_name") != index), errors.join(gone, "job_id", "left_anti")
 
 
-def stale(jobs: DataFrame, locks: DataFrame) -> DataFrame:
-    """Jobs that claim to run although nobody holds the lock (source_dir) of their folder."""
-    return distinct_jobs(jobs).where(state(F.col("status")).isin("running", "pending")).join(locks, "source_dir", "left_anti")
+def stale(jobs: DataFrame, locks: DataFrame, states: tuple[str, ...] = ("running", "pending")) -> DataFrame:
+    """Jobs that claim to be in one of the states although nobody holds the lock (source_dir) of their folder."""
+    return distinct_jobs(jobs).where(state(F.col("status")).isin(*states)).join(locks, "source_dir", "left_anti")
 
 
 def embed_guard(current: tuple[str, str, int] | None, wanted: tuple[str, str, int], force: bool = False) -> bool:

@@ -147,23 +147,29 @@ def token_counts(spark, d):
     return per.groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("rows_with"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(range(1, len(l) + 1), lambda i: {'s': l[i], 'keep': l[i] <> '' OR i = 1 OR l[i - 1] <> ''}), lambda x: x.keep), lambda x: x.s), chr(10)) AS body FROM (SELECT doc_id, list_transform(string_split(replace(text, chr(10), chr(10) || ' ' || chr(10) || chr(10)), chr(10)), lambda s: CASE WHEN regexp_full_match(s, '[ \t\r\f\v]*') THEN '' ELSE s END) AS l FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x09\x0a\x0d\x20-\x7e]*'))")
+@query(r"SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(range(1, len(l) + 1), lambda i: {'s': l[i], 'keep': l[i] <> '' OR i = 1 OR l[i - 1] <> ''}), lambda x: x.keep), lambda x: x.s), chr(10)) AS body FROM (SELECT doc_id, list_transform(string_split(replace(text, chr(10), chr(10) || ' ' || chr(10) || chr(10)), chr(10)), lambda s: CASE WHEN regexp_full_match(s, '[\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*') THEN '' ELSE s END) AS l FROM documents WHERE text IS NOT NULL)")
 def condense_blank_lines(spark, d):
     t = table(spark, d, "documents").where("text is not null")
     return t.select("doc_id", X.condense_blank_lines(F.replace("text", F.lit("\n"), F.lit("\n \n\n"))).alias("body"))
 
 
-@query(r"SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\v\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS n FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, CAST(len(l) AS BIGINT) AS n, array_to_string(l, '|') AS body FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\v\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)")
 def sentence_split(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(X.sentences(F.col("text"))).cast("bigint").alias("n"))
+    l = X.sentences(F.col("text"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(l).cast("bigint").alias("n"), F.array_join(l, "|").alias("body"))
 
 
-@query(r"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '\n\n+'), lambda x: regexp_replace(x, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g')), lambda x: x <> '')) AS n FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, CAST(len(l) AS BIGINT) AS n, array_to_string(l, '|') AS body FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\n+'), lambda x: regexp_replace(x, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)")
 def paragraph_split(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(X.paragraphs(F.col("text"))).cast("bigint").alias("n"))
+    l = X.paragraphs(F.col("text"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(l).cast("bigint").alias("n"), F.array_join(l, "|").alias("body"))
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '(?i)(^|[^\p{L}\p{N}])(provisional|harbour|permit)($|[^\p{L}\p{N}])', '\1<mark>\2</mark>\3', 'g') AS body FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?i)(provisional|harbour|permit)[^\p{L}\p{N}](provisional|harbour|permit)')")
+#: One pass takes the separator with it; so two, between which what is marked stands between letters that no text has.
+_MARKED = r"regexp_replace({0}, '(?i)(^|[^\p{{L}}\p{{N}}])(provisional|harbour|permit)($|[^\p{{L}}\p{{N}}])', '\1ꓸ\2ꓹ\3', 'g')"
+
+
+@query(f"SELECT doc_id, replace(replace({_MARKED.format(_MARKED.format('text'))}, 'ꓸ', '<mark>'), 'ꓹ', '</mark>') AS body FROM documents WHERE text IS NOT NULL")
 def highlight_terms(spark, d):
     t = table(spark, d, "documents").where("text is not null")
     return t.select("doc_id", X.highlight(F.col("text"), ["provisional", "harbour", "permit"]).alias("body"))
@@ -174,7 +180,7 @@ def strip_highlights(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", X.strip_highlights(F.concat(F.lit(X.MARK), "text", F.lit(X.UNMARK))).alias("body"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 79) || '…' ELSE text END AS short FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x09\\x0a\\x0d\\x20-\\x7e]*')")
+@query("SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 79) || '…' ELSE text END AS short FROM documents WHERE text IS NOT NULL")
 def truncate_ellipsis(spark, d):
     t = table(spark, d, "documents").where("text is not null")
     return t.select("doc_id", X.truncate(F.col("text"), 80).alias("short"))
@@ -261,9 +267,10 @@ def password_policy(spark, d):
     return table(spark, d, "customer").select("c_custkey", password_ok(p).alias("ok"))
 
 
-@query("SELECT row_id, coalesce(creator, '') AS creator, CASE WHEN modified IS NOT NULL THEN 'curated' ELSE 'curated' END AS date, CASE WHEN content_type IS NULL THEN '' ELSE content_type END AS type FROM index_docs")
+@query("SELECT row_id, coalesce(creator, '') AS creator, CASE WHEN row_id % 2 = 0 THEN 'curated' ELSE coalesce(modified, '') END AS date, CASE WHEN content_type IS NULL THEN '' ELSE content_type END AS type FROM index_docs")
 def meta_overlay(spark, d):
     t = _metadata(table(spark, d, "index_docs"))
-    m = M.overlay(F.col("metadata"), F.create_map(F.lit("date"), F.array(F.lit("curated"))))
+    curated = F.when(F.col("row_id") % 2 == 0, F.create_map(F.lit("date"), F.array(F.lit("curated")))).otherwise(F.create_map().cast("map<string,array<string>>"))
+    m = M.overlay(F.col("metadata"), curated)
     one = lambda k: F.coalesce(M.single(F.try_element_at(m, F.lit(k))), F.lit(""))
     return t.select("row_id", one("creator").alias("creator"), one("date").alias("date"), one("Content-Type").alias("type"))
