@@ -85,3 +85,24 @@ def path_split(path: Column) -> tuple[Column, Column]:
     """Directory and file name of a path."""
     file = F.element_at(F.split(path, "/"), -1)
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit("")), file
+
+
+def highlight_parts(text: Column, query: str) -> Column:
+    """Every occurrence of a query's words, also within words and in any case, wrapped in marks; the text is escaped first."""
+    words = sorted({w for w in query.split() if w}, key=len, reverse=True)
+    plain = html_escape(text)
+    if not words:
+        return plain
+    rx = "(?i)(" + "|".join(re.escape(w.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")) for w in words) + ")"
+    return F.regexp_replace(plain, rx, f"{MARK}$1{UNMARK}")
+
+
+def sanitise_html(html: Column) -> Column:
+    """HTML that runs nothing: scripts, styles, frames, objects and forms out with what is in them, no event attributes, no addresses but http,
+    https, mailto, cid and images as data. Comments go too. Null stays null."""
+    t = F.regexp_replace(html, r"(?is)<!--.*?-->", "")
+    t = F.regexp_replace(t, r"(?is)<(script|style|iframe|object|embed|form|svg|math|template|noscript)\b[^>]*>.*?</\1\s*>", "")
+    t = F.regexp_replace(t, r"(?is)</?(script|style|iframe|object|embed|form|svg|math|template|noscript|link|meta|base|input|button)\b[^>]*>?", "")
+    t = F.regexp_replace(t, r"(?is)[\s/\"']on[a-z]+\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "")
+    bad = r"(?is)\s(href|src|action|background|poster|xlink:href)\s*=\s*(\"\s*(?!https?:|mailto:|cid:|data:image/(?:png|jpeg|gif|webp)|#|/)[^\"]*\"|'\s*(?!https?:|mailto:|cid:|data:image/(?:png|jpeg|gif|webp)|#|/)[^']*'|(?!\"|'|https?:|mailto:|cid:|#|/)[^\s>]+)"
+    return F.regexp_replace(t, bad, "")

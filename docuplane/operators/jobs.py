@@ -83,8 +83,38 @@ def blocked(events: DataFrame, key: str, ts: str, failures: int = 5, window_s: i
 
 
 def rate_key(ip: Column) -> Column:
-    """IPv4 as it is, IPv6 by its first four groups."""
-    return F.when(ip.contains(":"), F.array_join(F.slice(F.split(ip, ":"), 1, 4), ":")).otherwise(ip)
+    """IPv4 as it is, IPv6 by its first four groups; `::` stands for as many groups of 0 as are missing."""
+    parts = F.split(ip, "::", 2)
+    groups = lambda c: F.filter(F.split(c, ":"), lambda x: x != "")
+    left, right = groups(parts[0]), groups(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
+    gap = F.greatest(8 - F.size(left) - F.size(right), F.lit(0))
+    whole = F.when(ip.contains("::"), F.concat(left, F.array_repeat(F.lit("0"), gap), right)).otherwise(F.split(ip, ":"))
+    return F.when(ip.contains(":"), F.array_join(F.slice(whole, 1, 4), ":")).otherwise(ip)
+
+
+def breaker(events: DataFrame, key: str, ts: str, ok: Column, order: str, most: int = 3, pause_s: int = 60) -> DataFrame:
+    """failure_runs() with `open`: whether the key counts as down at the event, that is after `most` failures in a row until `pause_s`
+    seconds after the last of them, when it's tried again."""
+    t = failure_runs(events, key, ts, ok, order)
+    w = Window.partitionBy(key).orderBy(ts, order)
+    before, last = F.lag("failures").over(w), F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(w)
+    down = (before >= most) & (F.unix_micros(F.col(ts).cast("timestamp")) - last < pause_s * 1_000_000)
+    return t.withColumn("open", F.coalesce(down, F.lit(False)))
+
+
+def extraction_seconds(events: DataFrame, key: str, value: Column) -> DataFrame:
+    """key, files, seconds, slowest: what extraction took in all and at most."""
+    return events.groupBy(key).agg(F.count("*").alias("files"), F.sum(value).alias("seconds"), F.max(value).alias("slowest"))
+
+
+def progress(jobs: DataFrame, now: Column) -> DataFrame:
+    """distinct_jobs() with done (files dealt with), share of all, seconds so far and seconds_left at this rate (null before the first)."""
+    end = F.coalesce(F.col("finished_at"), now)
+    s = (F.unix_micros(end) - F.unix_micros("created_at")) / 1e6
+    done = sum((F.coalesce(F.col(c), F.lit(0)) for c in ("processed", "failed", "n_empty", "skipped")), F.lit(0))
+    t = distinct_jobs(jobs).withColumn("done", done.cast("bigint")).withColumn("seconds", s)
+    left = F.greatest(F.col("total_files") - F.col("done"), F.lit(0))
+    return t.withColumn("share", F.when(F.col("total_files") > 0, F.least(F.col("done") / F.col("total_files"), F.lit(1.0)))).withColumn("seconds_left", F.when((F.col("done") > 0) & (F.col("seconds") > 0), left * F.col("seconds") / F.col("done")))
 
 
 def failure_runs(events: DataFrame, key: str, ts: str, ok: Column, order: str) -> DataFrame:

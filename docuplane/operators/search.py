@@ -34,6 +34,8 @@ class SearchRequest:
             raise ValueError("limit must be 1 to 200, offset at most 100000")
         if self.sort and self.sort[0] not in SORTS:
             raise ValueError(f"sort must be one of {sorted(SORTS)}")
+        if len(self.query) > 10_000:
+            raise ValueError("query too long")
         return self
 
     @property
@@ -64,6 +66,16 @@ def year_filter(values: list[str], year: Column) -> Column | None:
     return reduce(Column.__and__, parts) if parts else None
 
 
+def year_any(values: list[str], year: Column) -> Column | None:
+    """The other reading of year values: any of them may hold, from:Y and to:Y together as one range."""
+    low = [int(v[5:]) for v in values if v.startswith("from:") and v[5:].lstrip("+-").isdigit()]
+    high = [int(v[3:]) for v in values if v.startswith("to:") and v[3:].lstrip("+-").isdigit()]
+    plain = [int(v) for v in values if v.lstrip("+-").isdigit()]
+    bounds = [year >= y for y in low] + [year <= y for y in high]
+    parts = ([reduce(Column.__and__, bounds)] if bounds else []) + ([year.isin(plain)] if plain else [])
+    return reduce(Column.__or__, parts) if parts else None
+
+
 def filter_column(filters: dict[str, list[str]], columns: dict[str, str] | None = None, arrays: tuple[str, ...] = ("email_addresses",)) -> Column:
     """All labels must hold, any value of a label; unknown labels and empty lists are ignored."""
     columns = columns or FACETS
@@ -183,8 +195,8 @@ def search(docs: DataFrame, request: SearchRequest, key: str = "doc_id") -> Data
     hits = content_score(rows, r.query, key).where(filter_column(r.filters))
     top = page(hits.drop("content"), r.sort, r.limit, r.offset, key)
     terms = terms_of(r.query)
-    body = rows.select(key, X.highlight(X.fragment(F.col("content"), terms), terms).alias("snippet"))
-    return ordered(top.join(body, key), r.sort, key)
+    shown = top.join(rows.select(key, "content"), key).withColumn("snippet", X.highlight(X.fragment(F.col("content"), terms), terms)).drop("content")
+    return ordered(shown, r.sort, key)
 
 
 def facet_counts(docs: DataFrame, facets: dict[str, str] | None = None, arrays: tuple[str, ...] = ("email_addresses",), top: int = FACET_VALUES) -> DataFrame:
@@ -221,8 +233,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, row_key: str = "vec_id",
     before. Zero and null vectors have no neighbours.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(F.col(vector).isNotNull()).select((group if group is not None else F.col(row_key)).cast("bigint").alias("key"), F.col(vector).alias("v"))
+    rows = vectors.where(F.col(vector).isNotNull()).select((group if group is not None else F.col(row_key)).alias("key"), F.col(vector).alias("v"))
     grouped = group is not None
+    if rows.schema["key"].dataType.simpleString() != "string":
+        rows = rows.withColumn("key", F.col("key").cast("bigint"))
+    kind = rows.schema["key"].dataType.simpleString()
+    arrow = pa.string() if kind == "string" else pa.int64()
     numbered = queries.where("vector is not null").select(F.col("query_id").cast("bigint").alias("query_id"), "vector")
     blocks = max(1, -(-numbered.count() // block))
     found = None
@@ -239,7 +255,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, row_key: str = "vec_id",
             qi, q = shared.value
             kept: list[dict] = [{} for _ in qi]
             for batch in batches:
-                keys = batch.column(0).to_numpy()
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
                 col = batch.column(1)
                 v = col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(np.float64)
                 length = np.linalg.norm(v, axis=1)
@@ -250,7 +266,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, row_key: str = "vec_id",
                     best_of = kept[i]
                     floor = np.sort(row)[-k] if len(row) > k and not grouped else -2.0
                     for j in np.flatnonzero(row >= floor):
-                        key = int(names[j])
+                        key = names[j] if kind == "string" else int(names[j])
                         if row[j] > best_of.get(key, -2.0):
                             best_of[key] = float(row[j])
                     if len(best_of) > 4 * k:
@@ -258,12 +274,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, row_key: str = "vec_id",
             out = [(int(x), key, s) for x, d in zip(qi, kept) for key, s in sorted(d.items(), key=lambda y: (-y[1], y[0]))[:k]]
             if out:
                 a, b_, c = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b_, pa.int64()), pa.array(c, pa.float64())], ["query_id", "key", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b_, arrow), pa.array(c, pa.float64())], ["query_id", "key", "score"])
 
-        hit = rows.mapInArrow(best, "query_id bigint, key bigint, score double")
+        hit = rows.mapInArrow(best, f"query_id bigint, key {kind}, score double")
         found = hit if found is None else found.unionByName(hit)
     if found is None:
-        return spark.createDataFrame([], "query_id bigint, key bigint, score double, place int")
+        return spark.createDataFrame([], f"query_id bigint, key {kind}, score double, place int")
     merged = found.groupBy("query_id", "key").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return merged.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

@@ -196,3 +196,29 @@ def sessions_purged(spark, d):
 def rate_limit_key(spark, d):
     ip = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("10.0."), "user_id", F.lit(".7"))).otherwise(F.concat(F.lit("2001:db8:"), "user_id", F.lit(":1:2:3:4:5")))
     return table(spark, d, "events").select("event_id", J.rate_key(ip).alias("k"))
+
+
+@query("SELECT event_id, array_to_string((list_concat(string_split(split_part(ip, '::', 1), ':'), list_transform(range(7 - len(string_split(split_part(ip, '::', 1), ':'))), lambda i: '0')))[1:4], ':') AS k FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'fe80::' || user_id WHEN 1 THEN '2001:db8:' || user_id || '::9' ELSE '2001:db8::' || user_id END AS ip FROM events)")
+def rate_limit_key_short(spark, d):
+    """Keys of shortened IPv6 addresses."""
+    u, k = F.col("user_id").cast("string"), F.col("event_id") % 3
+    ip = F.when(k == 0, F.concat(F.lit("fe80::"), u)).when(k == 1, F.concat(F.lit("2001:db8:"), u, F.lit("::9"))).otherwise(F.concat(F.lit("2001:db8::"), u))
+    return table(spark, d, "events").select("event_id", J.rate_key(ip).alias("k"))
+
+
+@query("SELECT event_id, coalesce(lag(failures) OVER w >= 3 AND epoch_us(ts) - lag(epoch_us(ts)) OVER w < 60000000, false) AS open FROM (SELECT *, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY user_id % 5, run_no ORDER BY ts, event_id) AS BIGINT) AS failures FROM (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS run_no FROM (SELECT *, value >= 50 AS ok FROM events))) WINDOW w AS (PARTITION BY user_id % 5 ORDER BY ts, event_id)")
+def health_breaker(spark, d):
+    """Five servers that answer the events; a value below 50 is a failure."""
+    t = table(spark, d, "events").withColumn("server", F.col("user_id") % 5)
+    return J.breaker(t, "server", "ts", F.col("value") >= 50, "event_id").select("event_id", "open")
+
+
+@query("SELECT event_type, count(*) AS files, round(sum(value), 4) AS seconds, max(value) AS slowest FROM events GROUP BY event_type")
+def extraction_seconds(spark, d):
+    return J.extraction_seconds(table(spark, d, "events"), "event_type", F.col("value")).withColumn("seconds", F.round("seconds", 4))
+
+
+@query(f"SELECT job_id, CAST(done AS BIGINT) AS done, round(CASE WHEN total_files > 0 THEN least(done / total_files, 1.0) END, 6) AS share, round(CASE WHEN done > 0 AND s > 0 THEN greatest(total_files - done, 0) * s / done END, 3) AS seconds_left FROM (SELECT *, coalesce(processed, 0) + coalesce(failed, 0) + coalesce(n_empty, 0) + coalesce(skipped, 0) AS done, epoch(coalesce(finished_at, TIMESTAMPTZ '2025-01-01 00:00:00+00') - created_at) AS s FROM {_JOBS})")
+def progress_snapshot(spark, d):
+    t = J.progress(table(spark, d, "jobs"), F.lit("2025-01-01 00:00:00").cast("timestamp"))
+    return t.select("job_id", "done", F.round("share", 6).alias("share"), F.round("seconds_left", 3).alias("seconds_left"))

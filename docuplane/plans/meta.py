@@ -274,3 +274,8 @@ def meta_overlay(spark, d):
     m = M.overlay(F.col("metadata"), curated)
     one = lambda k: F.coalesce(M.single(F.try_element_at(m, F.lit(k))), F.lit(""))
     return t.select("row_id", one("creator").alias("creator"), one("date").alias("date"), one("Content-Type").alias("type"))
+
+
+@query(r"SELECT doc_id, regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(harbour|perm)', '<mark>\1</mark>', 'g') AS body FROM documents WHERE text IS NOT NULL")
+def highlight_client(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", X.highlight_parts(F.col("text"), "perm harbour").alias("body"))

@@ -351,3 +351,8 @@ def rule_ranking(spark, d):
 
 
 QUERIES["rule_ranking"] = rule_ranking
+
+
+@query(f"WITH {LIVE} SELECT doc_id FROM live WHERE (created_year >= 2015 AND created_year <= 2016) OR created_year IN (2019, 2021)")
+def filter_year_any(spark, d):
+    return rows(spark, d).where(S.year_any(["from:2015", "to:2016", "2019", "2021", "soon"], F.col("created_year"))).select("doc_id")

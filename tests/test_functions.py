@@ -136,3 +136,15 @@ def test_batches_are_greedy(spark):
     for k, b in got.items():
         groups.setdefault(b, []).append(k)
     assert sorted(sorted(v) for v in groups.values()) == [[0, 1], [2], [3], [4, 5, 6]]
+
+
+def test_sanitised_html(spark):
+    from docuplane.functions import text as X
+
+    cases = {
+        "<p onclick='x()'>a</p>": "<p>a</p>", "<script>bad()</script>b": "b", "<SCRIPT src=x>": "", '<a href="javascript:x()">c</a>': "<a>c</a>", '<a href="https://h.example/">d</a>': '<a href="https://h.example/">d</a>', "<img src=x onerror=y>": "<img>",
+        '<img src="data:image/png;base64,AA==">': '<img src="data:image/png;base64,AA==">', "<iframe><p>e</p></iframe>f<!-- <script> -->": "f", '<a href=" java&#115;cript:x()">g</a>': "<a>g</a>", "<form><input name=x></form>": "", "": "", None: None,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, h string")
+    got = {r.h: r.s for r in df.select("h", X.sanitise_html(df.h).alias("s")).collect()}
+    assert got == cases
