@@ -1,10 +1,12 @@
-"""docuplane indices | ingest | resume | embed | search | document | jobs | errors | reset, over one store folder."""
+"""docuplane init | indices | ingest | resume | retry | embed | search | document | jobs | job | errors | reset, over one store folder."""
 
 from __future__ import annotations
 
 import argparse
 import json
 
+from pyspark.sql import functions as F
+
 from docuplane.functions.vectors import HashingEmbedder
 from docuplane.operators.search import SearchRequest, parse_sort, resolve_indices
 from docuplane.service import Service
@@ -19,12 +21,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--config")
     p.add_argument("--master")
     s = p.add_subparsers(dest="command", required=True)
-    for name in ("indices", "jobs", "config"):
+    for name in ("init", "indices", "jobs", "config"):
         s.add_parser(name)
     for name in ("ingest", "resume"):
         c = s.add_parser(name)
         c.add_argument("index")
         c.add_argument("folder")
+        c.add_argument("--limit", type=int)
+    c = s.add_parser("retry")
+    c.add_argument("job")
+    c.add_argument("--kind", choices=["failed", "empty", "truncated"])
+    c.add_argument("--ocr-changed", action="store_true")
     c = s.add_parser("embed")
     c.add_argument("index")
     c.add_argument("--force", action="store_true")
@@ -38,7 +45,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--created-to", type=int)
     c.add_argument("--filter", action="append", default=[], metavar="LABEL=VALUE")
     c.add_argument("--hybrid", action="store_true")
-    for name, more in (("document", ("index", "doc_id")), ("errors", ("job",)), ("reset", ("index",))):
+    for name, more in (("document", ("index", "doc_id")), ("errors", ("job",)), ("job", ("job",)), ("reset", ("index",))):
         c = s.add_parser(name)
         for m in more:
             c.add_argument(m)
@@ -64,13 +71,18 @@ def run(args: list[str] | None = None, spark=None) -> object:
     if a.command == "config":
         return vars(config)
     spark = spark or build_session(master=a.master)
-    app = Service(Store(spark, a.store or config.data_dir))
+    app = Service(Store(spark, a.store or config.data_dir), max_depth=config.max_extract_depth, max_chars=config.max_content_length)
+    if a.command == "init":
+        path, fs = app.store._fs(app.store.root)
+        return {"store": app.store.root, "made": bool(fs.mkdirs(path))}
     embedder = HashingEmbedder(config.embed_dimension)
     if a.command == "indices":
         counts = {} if (docs := app.store.docs()) is None else {r.index_name: r["count"] for r in docs.groupBy("index_name").count().collect()}
         return [{"index": i, "documents": counts.get(i, 0), "embedded": app.store.chunks(i) is not None} for i in app.store.indices()]
     if a.command in ("ingest", "resume"):
-        return {"job": app.ingest(a.index, a.folder, resume=a.command == "resume")}
+        return {"job": app.ingest(a.index, a.folder, resume=a.command == "resume", limit=a.limit)}
+    if a.command == "retry":
+        return {"job": app.retry(a.job, a.kind, a.ocr_changed)}
     if a.command == "embed":
         return {"chunks": app.embed(a.index, embedder, "hashing", force=a.force, context_length=config.context_length, overlap=config.chunk_overlap)}
     if a.command == "search":
@@ -80,6 +92,9 @@ def run(args: list[str] | None = None, spark=None) -> object:
         return app.document(a.index, a.doc_id)
     if a.command == "jobs":
         return [r.asDict() for r in app.log.jobs().collect()]
+    if a.command == "job":
+        found = app.log.jobs().where(F.col("job_id") == a.job).first()
+        return found.asDict() if found else None
     if a.command == "errors":
         return [r.asDict() for r in app.log.errors(a.job).collect()]
     app.reset(a.index)

@@ -25,6 +25,20 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id", order: tuple[str
     return old.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
+def outcomes(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, outcome of each distinct key of new rows put over old ones: updated, created, or refused for a null key."""
+    have = old.select(key).distinct().withColumn("have", F.lit(True))
+    what = F.when(F.col(key).isNull(), "refused").when(F.col("have"), "updated").otherwise("created")
+    return new.select(key).distinct().join(have, key, "left").select(key, what.alias("outcome"))
+
+
+def truncated(raw: DataFrame, max_chars: int) -> DataFrame:
+    """source_path, error_type, message of raw documents whose content curate() cuts."""
+    long = F.length(F.regexp_replace("content", r"(?U)^\s+|\s+$", ""))
+    cut = raw.select("source_path", "display_path", long.alias("n")).where(F.col("n") > max_chars) if max_chars else raw.select("source_path", "display_path", F.lit(0).alias("n")).limit(0)
+    return cut.select("source_path", F.lit("ContentTruncated").alias("error_type"), F.concat("display_path", F.lit(": "), F.col("n").cast("string"), F.lit(f" characters cut to {max_chars}")).alias("message"))
+
+
 def curate(raw: DataFrame, index: str, base: str = "", max_chars: int = 100_000) -> DataFrame:
     """Index rows of raw documents (source_path, part, content, metadata MAP<STRING, ARRAY<STRING>>, display_path, extracted_from).
 

@@ -356,3 +356,16 @@ QUERIES["rule_ranking"] = rule_ranking
 @query(f"WITH {LIVE} SELECT doc_id FROM live WHERE (created_year >= 2015 AND created_year <= 2016) OR created_year IN (2019, 2021)")
 def filter_year_any(spark, d):
     return rows(spark, d).where(S.year_any(["from:2015", "to:2016", "2019", "2021", "soon"], F.col("created_year"))).select("doc_id")
+
+
+@query("WITH x AS (SELECT doc_id, job_id IN (SELECT job_id FROM jobs WHERE lower(trim(status)) = 'completed') AS j FROM index_docs) SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM x WHERE NOT coalesce(j, false)) THEN 'updated' ELSE 'created' END AS outcome FROM x WHERE j GROUP BY doc_id")
+def put_outcomes(spark, d):
+    """What became of each row of completed jobs put over those of all others."""
+    t = table(spark, d, "index_docs").select("doc_id", "job_id")
+    done = table(spark, d, "jobs").where("lower(trim(status)) = 'completed'").select("job_id")
+    return I.outcomes(t.join(done, "job_id", "left_anti"), t.join(done, "job_id", "left_semi"))
+
+
+@query("SELECT source_path, 'ContentTruncated' AS error_type, display_path || ': ' || length(trim(content, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160) || chr(8239))) || ' characters cut to 1500' AS message FROM index_docs WHERE length(trim(content, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160) || chr(8239))) > 1500")
+def content_truncated(spark, d):
+    return I.truncated(table(spark, d, "index_docs").select("source_path", "display_path", "content"), 1500)

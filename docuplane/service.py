@@ -49,7 +49,8 @@ class JobLog:
     def _add(self, name: str, rows: list[dict] | DataFrame, schema: str) -> None:
         names = [c.split()[0] for c in schema.split(", ")]
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
-        df.select(*names).coalesce(1).write.mode("append").parquet(f"{self.store.root}/{name}")
+        small = df if isinstance(rows, DataFrame) else df.coalesce(1)
+        small.select(*names).write.mode("append").parquet(f"{self.store.root}/{name}")
 
     def jobs(self, status: str | None = None) -> DataFrame:
         """The state of every job, the newest first."""
@@ -84,6 +85,20 @@ class JobLog:
         rows = first_errors(self._read("job_errors", ERROR))
         return (rows.where(F.col("job_id") == job) if job else rows).orderBy("error_ts", "file_path")
 
+    def forget(self, index: str) -> None:
+        """Drop the jobs, errors and models of an index; each table is written anew beside the old one and then takes its place."""
+        from docuplane.operators.jobs import without_index
+
+        jobs, errors = without_index(self._read("jobs", JOB), self._read("job_errors", ERROR), index)
+        models = self._read("models", MODEL).where(F.col("index_name") != index)
+        new = [(n, df) for n, df in (("job_errors", errors), ("jobs", jobs), ("models", models)) if self.store._fs(f"{self.store.root}/{n}")[1].exists(self.store._fs(f"{self.store.root}/{n}")[0])]
+        for name, df in new:
+            df.write.mode("overwrite").parquet(f"{self.store.root}/.{name}.new")
+        for name, _ in new:
+            old, fs = self.store._fs(f"{self.store.root}/{name}")
+            fs.delete(old, True)
+            fs.rename(self.store._fs(f"{self.store.root}/.{name}.new")[0], old)
+
     def set_model(self, index: str, model: str, backend: str, dimension: int, context_length: int, prefix: str = "") -> None:
         self._add("models", [{"index_name": index, "model": model, "backend": backend, "dimension": dimension, "context_length": context_length, "query_prefix": prefix, "updated_at": datetime.now(timezone.utc)}], MODEL)
 
@@ -105,8 +120,8 @@ class Answer:
 class Service:
     """Searches, documents and maintenance over one store."""
 
-    def __init__(self, store: Store, extractor: Extractor | None = None):
-        self.store, self.log, self.extractor = store, JobLog(store), extractor
+    def __init__(self, store: Store, extractor: Extractor | None = None, max_depth: int = 5, max_chars: int = 100_000):
+        self.store, self.log, self.extractor, self.max_depth, self.max_chars = store, JobLog(store), extractor, max_depth, max_chars
 
     def search(self, request: S.SearchRequest, embedder: Embedder | None = None, ratio: float | None = None) -> Answer:
         """A text search; with an embedder a hybrid one (fused ranks, or weighted by ratio). Total and facets are those of the text."""
@@ -131,10 +146,13 @@ class Service:
                 chunks = c if chunks is None else chunks.unionByName(c)
         if chunks is None:
             raise ValueError("the indices have no embeddings")
-        numbered = chunks.join(kept.select("doc_id"), "doc_id", "left_semi").withColumn("n", F.xxhash64("doc_id"))
-        q = self.store.spark.createDataFrame([(0, [float(x) for x in embedder.embed_query(r.query)])], "query_id bigint, vector array<double>")
-        near = S.knn(numbered, q, k, row_key="n", group=F.col("n"))
-        vec = near.join(kept.select("doc_id", F.xxhash64("doc_id").alias("key")), "key").select("doc_id", "score", "place")
+        names = r.indices or self.store.indices()
+        S.one_model(self.log.models(), names)
+        prefix = self.log.models().where(F.col("index_name") == names[0]).first().query_prefix or ""
+        asked = r.query if prefix and getattr(embedder, "prefix", "") == prefix else prefix + r.query
+        mine = chunks.join(kept.select("doc_id"), "doc_id", "left_semi")
+        q = self.store.spark.createDataFrame([(0, [float(x) for x in embedder.embed_query(asked)])], "query_id bigint, vector array<double>")
+        vec = S.knn(mine, q, k, row_key="doc_id", group=F.col("doc_id")).select(F.col("key").alias("doc_id"), "score", "place")
         fused = S.fuse_ranks(kw, vec, "doc_id") if ratio is None else S.fuse_weighted(kw, vec, "doc_id", ratio)
         return S.page(fused.join(docs, "doc_id").withColumn("snippet", F.left("content", F.lit(200))), r.sort, r.limit, r.offset)
 
@@ -152,20 +170,25 @@ class Service:
             thread = R.thread_of(mails, doc_id).select("doc_id", "display_path", "sent_at").collect()
         return row.asDict() | {"attachments": [k.asDict() for k in kids], "parent": parent.asDict() if parent else None, "thread": [t.asDict() for t in thread]}
 
-    def ingest(self, index: str, folder: str, paths: list[str] | None = None, resume: bool = False) -> str:
-        """Index a folder (or some paths of it) as a job; resume leaves out files that are in already. Returns the job id."""
+    def ingest(self, index: str, folder: str, paths: list[str] | None = None, resume: bool = False, limit: int | None = None, only: DataFrame | None = None, job_type: str = "ingest") -> str:
+        """Index a folder (or some paths of it, or those in `only`, file_path) as a job; resume leaves out files that are in already, limit takes
+        the first files by path. Returns the job id."""
         from docuplane.sources.files import without_indexed
 
         files = listed(self.store.spark, paths) if paths is not None else walk(self.store.spark, folder)
+        if only is not None:
+            files = files.join(only.select(F.col("file_path").alias("__p")).distinct(), F.regexp_replace("path", "^file:", "") == F.col("__p"), "left_semi")
+        if limit is not None:
+            files = files.orderBy("path").limit(limit)
         have = self.store.docs(index) if resume else None
         todo = without_indexed(files, have) if have is not None else files
         all_files, n = files.select("path").count(), todo.select("path").count()
-        job = self.log.create(folder, index, "ingest", all_files)
+        job = self.log.create(folder, index, job_type, all_files)
         try:
-            parts, errors = G.index_batch(self.store, todo, index, folder, self.extractor)
+            parts, errors = G.index_batch(self.store, todo, index, folder, self.extractor, self.max_depth, self.max_chars)
             counts = parts.agg(F.count_distinct("source_path").alias("extracted"), F.count_if(F.expr("error_type is null or error_type = 'EmptyExtraction'")).alias("processed"), F.count_if(F.trim("content") == "").alias("n_empty")).first()
             self.log.record(job, errors)
-            failed = errors.where("error_type <> 'EmptyExtraction'").select("source_path").distinct().count()
+            failed = errors.where("error_type not in ('EmptyExtraction', 'ContentTruncated')").select("source_path").distinct().count()
             parts.unpersist()
             self.log.update(job, status="completed", skipped=all_files - n, failed=failed, **counts.asDict())
         except Exception:
@@ -173,6 +196,16 @@ class Service:
             raise
         return job
 
+    def retry(self, job: str, kind: str | None = None, ocr_changed: bool = False) -> str:
+        """Index again what a job failed on (`failed`), found empty (`empty`) or cut (`truncated`); all its errors if only OCR settings changed."""
+        from docuplane.operators.jobs import failed_paths
+
+        row = self.log.jobs().where(F.col("job_id") == job).first()
+        if row is None:
+            raise ValueError(f"no job {job}")
+        paths = failed_paths(self.log.errors(job), **retry_scope(kind, ocr_changed))
+        return self.ingest(row.index_name, row.source_dir, only=paths, job_type="retry")
+
     def embed(self, index: str, embedder: Embedder, model: str, backend: str = "local", context_length: int = 8192, overlap: int = 200, force: bool = False) -> int:
         """Embed what has no vectors; another model than before only by force, which starts over."""
         from docuplane.operators.jobs import embed_guard
@@ -181,9 +214,11 @@ class Service:
         if embed_guard((now.model, now.backend, now.dimension) if now else None, (model, backend, embedder.dimension), force):
             self.store.clear_chunks(index)
         n = G.embed_index(self.store, index, embedder, context_length, overlap)
-        self.log.set_model(index, model, backend, embedder.dimension, context_length)
+        self.log.set_model(index, model, backend, embedder.dimension, context_length, getattr(embedder, "prefix", ""))
         return n
 
-    def reset(self, index: str) -> None:
-        """Drop an index with its vectors."""
+    def reset(self, index: str, history: bool = True) -> None:
+        """Drop an index with its vectors and, with `history`, its jobs, errors and model."""
         self.store.delete(index)
+        if history:
+            self.log.forget(index)

@@ -15,17 +15,17 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 def index_batch(store: Store, files: DataFrame, index: str, base: str, extractor: Extractor | None = None, max_depth: int = 5, max_chars: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Extract, curate and put one batch of files; returns the parts written and the errors (path, type, message).
 
-    A file all of whose parts are empty is an EmptyExtraction; a file that failed after a part counts as done.
+    A file all of whose parts are empty is an EmptyExtraction; a content that is cut is a ContentTruncated; a file that failed after a part counts as done.
     """
     parts = extract(files, extractor, max_depth).persist()
     good = parts.where("error_type is null or error_type in ('EmptyExtraction', 'DepthLimitExceeded')")
     store.put(I.curate(good, index, base, max_chars), index)
     empty = parts.groupBy("source_path").agg(F.bool_and(F.trim("content") == "").alias("e")).where("e").select("source_path", F.lit("EmptyExtraction").alias("error_type"), F.lit("all parts are empty").alias("message"))
-    errors = parts.where("error_type is not null and error_type <> 'EmptyExtraction'").select("source_path", "error_type", "message").unionByName(empty).distinct()
+    errors = parts.where("error_type is not null and error_type <> 'EmptyExtraction'").select("source_path", "error_type", "message").unionByName(empty).unionByName(I.truncated(good, max_chars)).distinct()
     return parts, errors
 
 
-def ingest_stream(spark: SparkSession, store: Store, folder: str, index: str, checkpoint: str, base: str | None = None, extractor: Extractor | None = None, files_per_batch: int = 1000):
+def ingest_stream(spark: SparkSession, store: Store, folder: str, index: str, checkpoint: str, base: str | None = None, extractor: Extractor | None = None, files_per_batch: int = 1000, max_depth: int = 5, max_chars: int = 100_000):
     """Index all files of a folder that weren't seen before, in batches, then stop; a restart goes on from the checkpoint.
 
     Putting a batch twice gives the same rows, so a batch that is repeated after a failure does no harm.
@@ -33,7 +33,7 @@ def ingest_stream(spark: SparkSession, store: Store, folder: str, index: str, ch
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
 
     def put(batch: DataFrame, _: int) -> None:
-        parts, _errors = index_batch(store, batch, index, base or folder, extractor)
+        parts, _errors = index_batch(store, batch, index, base or folder, extractor, max_depth, max_chars)
         parts.unpersist()
 
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -50,3 +50,27 @@ def test_arguments():
     with pytest.raises(ValueError):
         A.retry_scope(None)
     assert A.previewable("application/pdf; x=y") and not A.previewable("text/html") and not A.previewable("made/up")
+
+
+def test_retry_limit_and_reset(spark, tmp_path):
+    here = ["--store", str(tmp_path / "store")]
+    assert cli.run([*here, "init"], spark)["made"]
+    root = tmp_path / "in"
+    root.mkdir()
+    for i in range(3):
+        (root / f"f{i}.txt").write_text("harbour " * (i * 4) or " ")
+    app = A.Service(Store(spark, str(tmp_path / "store")), max_chars=40)
+    first = app.ingest("ix", str(root), limit=2)
+    assert app.log.jobs().first().total_files == 2
+    job = app.ingest("ix", str(root))
+    assert {(r.file_path.rsplit("/", 1)[1], r.error_type) for r in app.log.errors(job).collect()} == {("f0.txt", "EmptyExtraction"), ("f2.txt", "ContentTruncated")}
+    assert app.log.jobs().where(f"job_id = '{job}'").first().failed == 0
+    (root / "f0.txt").write_text("now it says something")
+    again = app.retry(job, "empty")
+    assert cli.run([*here, "job", again], spark)["total_files"] == 1 and cli.run([*here, "job", again], spark)["job_type"] == "retry"
+    assert app.store.docs("ix").where("content like 'now it%'").count() == 1
+    with pytest.raises(ValueError):
+        app.retry("none", "empty")
+    other = app.ingest("iy", str(root))
+    app.reset("ix")
+    assert [r.job_id for r in app.log.jobs().collect()] == [other] and app.log.errors(first).count() == 0 and app.store.indices() == ["iy"]
