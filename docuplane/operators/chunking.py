@@ -29,57 +29,53 @@ def split_sentences(text: str) -> list[str]:
 
 
 def _hard(text: str, most: int, overlap: int) -> list[str]:
-    """Cuts at byte counts, never within a character; always moves on."""
-    raw, out, start = text.encode(), [], 0
+    """Windows of at most `most` bytes, each beginning most less overlap (or most, where the overlap is no less) bytes after the one before;
+    all bounds are moved back to the beginning of a character, and every window moves on by a character at least."""
+    raw = text.encode()
+    step, out, start = most - overlap if most > overlap else most, [], 0
+
+    def bound(i: int, way: int) -> int:
+        while 0 < i < len(raw) and raw[i] & 0xC0 == 0x80:
+            i += way
+        return min(i, len(raw))
+
     while start < len(raw):
-        end = min(start + most, len(raw))
-        while end < len(raw) and end > start and raw[end] & 0xC0 == 0x80:
-            end -= 1
-        if end == start:
-            end = start + 1
-            while end < len(raw) and raw[end] & 0xC0 == 0x80:
-                end += 1
-        out.append(raw[start:end].decode())
-        if end >= len(raw):
-            break
-        back = max(end - overlap, start + 1)
-        while back < end and raw[back] & 0xC0 == 0x80:
-            back += 1
-        start = back
+        least = bound(start + 1, 1)
+        out.append(raw[start : max(bound(start + most, -1), least)].decode())
+        start = max(bound(start + step, -1), least)
     return out
 
 
-def _pack(parts: list[str], most: int, overlap: int, glue: str, split) -> list[str]:
-    """Parts filled into chunks; a new chunk begins with the last parts of the one before, as far as the overlap lets."""
-    out, now, used = [], [], 0
+def _pack(parts: list[str], most: int, overlap: int, glue: str, split, carry: bool) -> list[str]:
+    """Parts filled into chunks; a new chunk begins with the last parts of the one before, as far as the overlap lets. What is too long itself is
+    split; with `carry`, the overlap of the chunk before it waits for the part behind it."""
+    out, now = [], []
+    size = lambda xs: sum(map(_size, xs)) + len(glue) * max(0, len(xs) - 1)
+
+    def flush(keep: bool) -> list[str]:
+        out.append(glue.join(now))
+        return _tail(now, overlap, len(glue)) if keep and overlap else []
+
     for p in parts:
         if _size(p) > most:
-            if now:
-                out.append(glue.join(now))
-                now, used = [], 0
+            now = flush(carry) if now else now
             out += split(p)
-            continue
-        need = _size(p) + (len(glue) if now else 0)
-        if now and used + need > most:
-            out.append(glue.join(now))
-            now = _tail(now, overlap, len(glue))
-            used = sum(map(_size, now)) + len(glue) * max(0, len(now) - 1)
-            need = _size(p) + (len(glue) if now else 0)
-        now.append(p)
-        used += need
+        else:
+            if now and size([*now, p]) > most:
+                now = flush(True)
+            now.append(p)
     if now:
-        out.append(glue.join(now))
+        flush(False)
     return out
 
 
 def chunk_text(text: str, most: int, overlap: int) -> list[str]:
-    """Chunks of at most `most` bytes, but for an overlap carried before a part; a text that fits (and '') is one chunk as it is."""
-    if _size(text) <= most:
-        return [text]
+    """Chunks of at most `most` bytes, but for an overlap carried before a part: trimmed paragraphs joined by an empty line, sentences of
+    longer paragraphs joined by a blank, windows of longer sentences. A text without words is one chunk as it is."""
     parts = [p.strip() for p in re.split(r"\n\n+", text) if p.strip()]
     if not parts:
         return [text]
-    return _pack(parts, most, overlap, "\n\n", lambda p: _pack(split_sentences(p), most, overlap, " ", lambda s: _hard(s, most, overlap)))
+    return _pack(parts, most, overlap, "\n\n", lambda p: _pack(split_sentences(p), most, overlap, " ", lambda s: _hard(s, most, overlap), False), True)
 
 
 _STRINGS = T.ArrayType(T.StringType())
@@ -95,27 +91,27 @@ def chunks(text, most: int, overlap: int):
     return run(text)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _batches(sizes: pd.Series, most: pd.Series) -> pd.Series:
-    out = []
-    for xs, m in zip(sizes, most):
-        n, used, row = 0, 0, []
-        for x in xs:
-            if row and used + x > m:
-                n, used = n + 1, 0
-            used += x
-            row.append(n)
-        out.append(row)
-    return pd.Series(out)
-
-
-def payload_batches(rows, group: str, key: str, size: str, most: int, block: int = 2_000):
-    """group, key, batch: rows in key order filled greedily into batches of at most `most` bytes, an oversized row alone.
+def payload_batches(rows, group: str, key: str, size: str, most: int, per_row: int = 0, per_batch: int = 0):
+    """group, key, batch (from 0): the rows of each group in key order filled greedily into batches whose bytes, with per_row for each row and
+    per_batch beside them (commas and brackets, say), stay within `most`; a row that is larger alone. rows: group, key, size (BIGINT); of a repeated key every row counts.
 
-    Greedy filling depends on all rows before, so every group is filled in blocks of `block` neighbouring keys, each of which
-    starts a new batch: no task ever holds more than a block. rows: group, key (BIGINT), size.
+    Where a batch begins depends on all rows before it, so a group is walked in order, as a stream of Arrow batches of one sorted
+    partition in which nothing is gathered; a group is one batch sequence by its nature, different groups run side by side.
     """
-    blocks = rows.withColumn("b", F.floor(F.col(key) / block)).groupBy(group, "b").agg(F.array_sort(F.collect_list(F.struct(key, size))).alias("x"))
-    numbered = blocks.withColumn("n", _batches(F.transform("x", lambda r: r[size]), F.lit(most)))
-    flat = numbered.select(group, "b", F.explode(F.arrays_zip("x", "n")).alias("z"))
-    return flat.select(group, F.col(f"z.x.{key}").alias(key), F.concat_ws("-", F.col("b").cast("string"), F.col("z.n").cast("string")).alias("batch"))
+    names = f"{group} {rows.schema[group].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, batch bigint"
+
+    def fill(batches):
+        now, n, used, first = None, 0, 0, True
+        for b in batches:
+            out = []
+            for g, s in zip(b[group], b[size]):
+                need = int(s) + per_row
+                if g != now:
+                    now, n, used, first = g, 0, per_batch, True
+                elif not first and used + need > most:
+                    n, used = n + 1, per_batch
+                used, first = used + need, False
+                out.append(n)
+            yield pd.DataFrame({group: b[group], key: b[key], "batch": out})
+
+    return rows.select(group, key, size).where(F.col(group).isNotNull()).repartition(group).sortWithinPartitions(group, key, size).mapInPandas(fill, names)

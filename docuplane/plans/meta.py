@@ -205,10 +205,14 @@ def chunk_text(spark, d):
     return x.select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.octet_length("chunk").cast("bigint").alias("bytes"))
 
 
-@query()
 def embed_documents(spark, d):
+    """The vectors of all texts, with 4 decimals as one string."""
     e = V.HashingEmbedder(16).column()
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(e("text")).cast("bigint").alias("dimension"))
+    shown = F.array_join(F.transform(e("text"), lambda x: F.format_number(x, 4)), " ")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", shown.alias("vector"))
+
+
+QUERIES["embed_documents"] = embed_documents
 
 
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
@@ -240,10 +244,10 @@ def oversize_truncation(spark, d):
     return t.select("row_id", F.length(I.fit_size(F.col("content"), I.size_estimate({"content": ("string", F.col("content"))}), 1500)).cast("bigint").alias("kept"))
 
 
-@query()
+@query(f"WITH RECURSIVE s AS (SELECT index_name, row_id, CAST(2 + 11 + {_SIZE.format('content')} AS BIGINT) + 1 AS need, row_number() OVER (PARTITION BY index_name ORDER BY row_id) AS i FROM index_docs), w AS (SELECT index_name, row_id, i, need + 2 AS used, CAST(0 AS BIGINT) AS batch FROM s WHERE i = 1 UNION ALL SELECT s.index_name, s.row_id, s.i, CASE WHEN w.used + s.need > 65536 THEN s.need + 2 ELSE w.used + s.need END, w.batch + CASE WHEN w.used + s.need > 65536 THEN 1 ELSE 0 END FROM w JOIN s ON s.index_name = w.index_name AND s.i = w.i + 1) SELECT index_name, row_id, batch FROM w")
 def payload_batches(spark, d):
     t = table(spark, d, "index_docs").select("index_name", "row_id", I.size_estimate({"content": ("string", F.col("content"))}).alias("bytes"))
-    return chunking.payload_batches(t, "index_name", "row_id", "bytes", 65_536)
+    return chunking.payload_batches(t, "index_name", "row_id", "bytes", 65_536, per_row=1, per_batch=2)
 
 
 @query(r"SELECT DISTINCT p FROM (SELECT array_to_string(l[1:unnest(range(1, len(l)))], '/') AS p FROM (SELECT string_split(display_path, '/') AS l FROM index_docs) WHERE len(l) > 1)")

@@ -148,3 +148,18 @@ def test_sanitised_html(spark):
     df = spark.createDataFrame(list(enumerate(cases)), "i int, h string")
     got = {r.h: r.s for r in df.select("h", X.sanitise_html(df.h).alias("s")).collect()}
     assert got == cases
+
+
+def test_chunks_of_long_parts():
+    assert C.chunk_text("  Para one.  \n\n\n Para two. ", 100, 20) == ["Para one.\n\nPara two."] and C.chunk_text(" \n\n ", 100, 20) == [" \n\n "]
+    sentences = " ".join(x * 10 + "." for x in "ABC")
+    assert C.chunk_text(sentences, 22, 12)[0] == "A" * 10 + "." and C.chunk_text(sentences, 22, 12)[1].startswith("A" * 10 + ". B")
+    # the overlap of what stands before an oversized paragraph waits for what stands behind it
+    assert C.chunk_text("aa\n\nbb\n\n" + "x" * 12 + "\n\ncc", 8, 2) == ["aa\n\nbb", "x" * 8, "x" * 6, "bb\n\ncc"]
+    assert C.chunk_text("A" * 50, 20, 5) == ["A" * 20, "A" * 20, "A" * 20, "A" * 5] and C.chunk_text("A" * 9, 4, 4) == ["A" * 4, "A" * 4, "A"]
+
+
+def test_batches_count_what_stands_between(spark):
+    rows = spark.createDataFrame([("g", k, 4) for k in range(4)] + [("h", 9, 99)], "g string, k bigint, s bigint")
+    got = {(r.g, r.k): r.batch for r in C.payload_batches(rows, "g", "k", "s", 12, per_row=1, per_batch=2).collect()}
+    assert got == {("g", 0): 0, ("g", 1): 0, ("g", 2): 1, ("g", 3): 1, ("h", 9): 0}
