@@ -339,18 +339,37 @@ def snippet_fallback(spark, d):
     return t.select("doc_id", X.fragment(F.col("content"), []).alias("snippet"))
 
 
+_RULE_TERMS = ["insured", "harbour", "report"]
+
+
+def _rules_sql(terms: list[str]) -> str:
+    typos = lambda t, w: f"list_min(list_filter(list_transform({t}, lambda x: levenshtein(x, '{w}')), lambda n: n <= {1 if len(w) < 9 else 2}))"
+    at = lambda t, w: f"list_filter(range(1, len({t}) + 1), lambda i: {t}[i] = '{w}')"
+    apart = lambda t, a, b: f"least(coalesce(list_min(flatten(list_transform({at(t, a)}, lambda i: list_transform({at(t, b)}, lambda j: abs(i - j))))), 8), 8)"
+    cols = [f"{typos(t, w)} AS {t}{i}" for i, w in enumerate(terms) for t in "pc"]
+    near = " + ".join(f"least({apart('p', a, b)}, {apart('c', a, b)})" for a, b in zip(terms, terms[1:]))
+    best = [f"least(p{i}, c{i})" for i in range(len(terms))]
+    words, all_typos = " + ".join(f"CAST({b} IS NOT NULL AS INTEGER)" for b in best), " + ".join(f"coalesce({b}, 0)" for b in best)
+    place = f"CASE WHEN {' OR '.join(f'p{i} IS NOT NULL' for i in range(len(terms)))} THEN 0 ELSE 1 END"
+    exact = f"len(list_filter({terms!r}, lambda w: list_contains(list_concat(p, c), w)))"
+    return f"""WITH {LIVE}, t AS (SELECT doc_id, {_PATH} AS p, {_TOK} AS c FROM live), f AS (SELECT *, {', '.join(cols)} FROM t), r AS (SELECT doc_id, {words} AS words, {all_typos} AS typos, {near} AS proximity, {place} AS attribute, {exact} AS exactness FROM f)
+ SELECT doc_id, words, typos, proximity, attribute, exactness FROM r WHERE words > 0 ORDER BY words DESC, typos, proximity, attribute, exactness DESC, doc_id LIMIT 100"""
+
+
 def rule_ranking(spark, d):
     """The 100 best documents for 'insured harbour report' by rules: the path before the content, typos allowed."""
     from docuplane.operators import rules
 
     t = table(spark, d, "index_docs").select("doc_id", "row_id", "indexed_at", X.path_tokens(F.col("display_path")).alias("p"), X.tokens(F.col("content")).alias("c"))
-    figures = rules.rule_ranks(t, ["insured", "harbour", "report"], [F.col("p"), F.col("c")])
+    figures = rules.rule_ranks(t, _RULE_TERMS, [F.col("p"), F.col("c")])
     names = ["words", "typos", "proximity", "attribute", "exactness"]
     live_rows = I.live(figures.select("doc_id", "row_id", "indexed_at", *names), *names)
+    live_rows = live_rows.select("doc_id", *names)
     return live_rows.orderBy(*rules.rule_order()).limit(100)
 
 
 QUERIES["rule_ranking"] = rule_ranking
+SQL["rule_ranking"] = _rules_sql(_RULE_TERMS)
 
 
 @query(f"WITH {LIVE} SELECT doc_id FROM live WHERE (created_year >= 2015 AND created_year <= 2016) OR created_year IN (2019, 2021)")
