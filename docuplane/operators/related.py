@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from docuplane.functions import meta as M
+from docuplane.session import bounded_broadcast
 
 ATTACHMENTS, THREAD = 200, 100
 
@@ -40,5 +41,5 @@ def thread_members(mails: DataFrame) -> DataFrame:
 def thread_of(mails: DataFrame, doc_id: str, most: int = THREAD) -> DataFrame:
     """The other mails of a mail's thread, oldest first."""
     own = message_ids(mails.where(F.col("doc_id") == doc_id)).select("index_name", "m").distinct()
-    found = message_ids(mails).join(F.broadcast(own), ["index_name", "m"], "left_semi").select("doc_id").distinct()
+    found = message_ids(mails).join(bounded_broadcast(own, 100_000), ["index_name", "m"], "left_semi").select("doc_id").distinct()
     return mails.where(F.col("doc_id") != doc_id).join(found, "doc_id", "left_semi").orderBy("sent_at", "doc_id").limit(most)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docuplane.operators import index as I, jobs as J
-from docuplane.session import table
+from docuplane.session import bounded_broadcast, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,7 +32,7 @@ def permissions(spark, d):
 
     users = table(spark, d, "customer").select(F.concat(F.lit("user"), "c_custkey").alias("user_name"), F.col("c_custkey").alias("k"))
     n = table(spark, d, "index_profiles").select("index_name", F.row_number().over(Window.orderBy("index_name")).alias("n"))
-    own = users.join(F.broadcast(n), (F.col("k") + F.col("n")) % 7 == 0).select("user_name", "index_name")
+    own = users.join(bounded_broadcast(n, 100_000), (F.col("k") + F.col("n")) % 7 == 0).select("user_name", "index_name")
     return own.unionByName(users.where("k % 50 = 0").select("user_name", F.lit("*").alias("index_name")))
 
 
@@ -114,7 +114,7 @@ def model_consistency(spark, d):
 @query("WITH l AS (SELECT * FROM index_embeddings QUALIFY row_number() OVER (PARTITION BY index_name ORDER BY updated_at DESC, model DESC, backend DESC) = 1) SELECT p.index_name, coalesce(l.dimension, 0) > 0 AS has_embeddings FROM index_profiles p LEFT JOIN l USING (index_name)")
 def index_embedding_flags(spark, d):
     l = J.latest_models(table(spark, d, "index_embeddings")).select("index_name", "dimension")
-    return table(spark, d, "index_profiles").join(F.broadcast(l), "index_name", "left").select("index_name", (F.coalesce("dimension", F.lit(0)) > 0).alias("has_embeddings"))
+    return table(spark, d, "index_profiles").join(bounded_broadcast(l, 100_000), "index_name", "left").select("index_name", (F.coalesce("dimension", F.lit(0)) > 0).alias("has_embeddings"))
 
 
 @query("WITH l AS (SELECT * FROM index_embeddings QUALIFY row_number() OVER (PARTITION BY index_name ORDER BY updated_at DESC, model DESC, backend DESC) = 1) SELECT main_lang, bool_and(coalesce(l.dimension, 0) > 0) AS hybrid FROM index_profiles p LEFT JOIN l USING (index_name) GROUP BY main_lang")

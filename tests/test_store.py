@@ -84,3 +84,28 @@ def test_streaming_windows(spark, tmp_path):
     q = G.event_windows(G.first_deliveries(stream), late=None).writeStream.format("memory").queryName("win").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.event_type, r.n, r.total) for r in spark.table("win").collect()] == [("a", 2, 5.0)]
+
+
+def test_deltas_give_the_rows_of_whole_rewrites(spark, tmp_path):
+    import random
+
+    from docuplane.sources import store as S
+
+    rng, store, truth, vectors = random.Random(8), S.Store(spark, str(tmp_path / "s")), {}, {}
+    for step in range(12):
+        ids = rng.sample(range(40), rng.randrange(1, 9))
+        rows = [(f"d{i}", f"t{step}") for i in ids]
+        store.put(spark.createDataFrame(rows, "doc_id string, content string"), "ix")
+        truth |= dict(rows)
+        for d, _ in rows:
+            vectors.pop(d, None)
+        if step % 3 == 2:
+            some = rng.sample(sorted(truth), 3)
+            store.put_chunks(spark.createDataFrame([(d, c, [float(step)]) for d in some for c in range(2)], "doc_id string, chunk_no int, embedding array<float>"), "ix")
+            vectors |= {d: {(0, float(step)), (1, float(step))} for d in some}
+        assert {r.doc_id: r.content for r in store.docs("ix").collect()} == truth and len(truth) == store.docs("ix").count()
+        got = {}
+        for r in store.chunks("ix").collect() if step > 2 else []:
+            got.setdefault(r.doc_id, set()).add((r.chunk_no, r.embedding[0]))
+        assert step <= 2 or got == vectors
+    assert len(store._deltas("ix", "docs")) < S.DELTAS
