@@ -343,7 +343,8 @@ _RULE_TERMS = ["insured", "harbour", "report"]
 
 
 def _rules_sql(terms: list[str]) -> str:
-    typos = lambda t, w: f"list_min(list_filter(list_transform({t}, lambda x: levenshtein(x, '{w}')), lambda n: n <= {1 if len(w) < 9 else 2}))"
+    """The figures of rule_ranks(); the SQL's distance counts bytes, so a letter beyond ASCII is made one."""
+    typos = lambda t, w: f"list_min(list_filter(list_transform({t}, lambda x: levenshtein(regexp_replace(x, '[^\\x00-\\x7f]', '?', 'g'), '{w}')), lambda n: n <= {1 if len(w) < 9 else 2}))"
     at = lambda t, w: f"list_filter(range(1, len({t}) + 1), lambda i: {t}[i] = '{w}')"
     apart = lambda t, a, b: f"least(coalesce(list_min(flatten(list_transform({at(t, a)}, lambda i: list_transform({at(t, b)}, lambda j: abs(i - j))))), 8), 8)"
     cols = [f"{typos(t, w)} AS {t}{i}" for i, w in enumerate(terms) for t in "pc"]
