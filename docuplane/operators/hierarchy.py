@@ -1,7 +1,7 @@
 """Parent-child links turned into full trees by leaf peeling.
 
 Peeling from the leaves up carries subtree sizes to the parents, one level a round, and the levels are walked back from the roots,
-which hand path, depth and root down. A level of few leaves isn't worth a round: once less than an eighth of the nodes that are
+which hand path, depth and root down. A level of few leaves isn't worth a round: once less than a third of the nodes that are
 still there are leaves, chains (and loops) are left, and these are contracted by doubling: every node takes over the ancestor of its
 ancestor, which carries sums up and distances down over twice the way each round. What then still has an ancestor is on a loop or
 below one. So the rounds are logarithmic in the number of nodes, whatever the shape, and none is left out. Each round writes one
@@ -56,7 +56,7 @@ def thread_links(mails: DataFrame) -> DataFrame:
 
 _DONE = "node string, parent string, root string, depth bigint, n_below bigint, path array<string>"
 #: Peeling goes on while at least one node in so many is a leaf.
-WORTH = 8
+WORTH = 3
 
 
 def _written(scratch: Scratch, df: DataFrame, **counts: Column) -> tuple[DataFrame, str, list[int]]:
