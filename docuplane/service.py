@@ -130,8 +130,13 @@ class Service:
         if docs is None:
             return Answer([], 0)
         hits = S.matches(docs, r.query).where(S.filter_column(r.filters))
-        total = hits.count()
-        facets = {x.facet: x.shown_values for x in S.shown_facets(S.facet_counts(hits)).orderBy("place").collect()} if r.wants_facets else {}
+        if r.wants_facets:  # the total is one more facet of the same pass
+            counted = S.facet_counts(hits.withColumn("__all", F.lit("all")), {**S.FACETS, "__all": "__all"}).persist()
+            total = next((x.n for x in counted.where("facet = '__all'").collect()), 0)
+            facets = {x.facet: x.shown_values for x in S.shown_facets(counted.where("facet <> '__all'")).orderBy("place").collect()}
+            counted.unpersist()
+        else:
+            total, facets = hits.count(), {}
         page = S.search(docs, r) if embedder is None else self._hybrid(docs, r, embedder, ratio)
         shown = [c for c in ("doc_id", "index_name", "display_path", "extracted_from", "score", "snippet", "content_type", "creator", "created", "file_size") if c in page.columns]
         return Answer([x.asDict() for x in page.select(*shown).collect()], total, facets)
